@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldtrace.functions import text as tx
 from fieldtrace.operators import chunking
 from fieldtrace.plans import entries as en, lineage
+from fieldtrace.session import hold
 from fieldtrace.sources import store as st
 
 Embed = Callable[[DataFrame, str], DataFrame]
@@ -32,7 +33,7 @@ def ingest(
         if mode == "replace":
             paths = usable.select("file_path").distinct()
             store.delete_files(st.MAPPINGS, paths, batch_id - 1)
-        entries = en.entries(lineage.field_mappings(usable))
+        entries = en.entries(hold(lineage.field_mappings(usable)))
         store.add_mappings(st.batch_records(entries, usable), embed, batch_id)
     return batch_id
 

@@ -1,4 +1,10 @@
-"""Field mappings from scoped tokens: mapper interfaces and hand-written mapping methods."""
+"""Field mappings from scoped tokens: mapper interfaces and hand-written mapping methods.
+
+Tokens arrive partitioned by file from the windows that scoped them, and everything here is a
+column rule or a window on finer keys of the same partitioning. So the whole extraction is one scan
+and one shuffle, of tokens: variables are looked up by windows on (method, variable) and not by
+self joins.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
-from fieldtrace.operators.dedup import union_all
 from fieldtrace.plans import tokens as tk
-from fieldtrace.session import hold
 
 FIELD_MAPPING_COLUMNS = [
     "file_path", "type", "interface", "method", "source_type", "target_type", "source_field",
@@ -36,7 +40,7 @@ def mapper_methods(scoped: DataFrame) -> DataFrame:
         F.col("decl").alias("interface"),
         "method",
         "return_type",
-        tk.first_parameter_type("params").alias("source_type"),
+        tk.first_parameter_type().alias("source_type"),
         "annotated",
         F.col("pos").alias("method_pos"),
     )
@@ -60,103 +64,222 @@ def annotations(scoped: DataFrame) -> DataFrame:
     )
 
 
-def mapper_field_mappings(scoped: DataFrame) -> DataFrame:
-    """One row per annotation with a target, and one per method without any (implicit mapping)."""
-    source_type = F.coalesce(tk.first_parameter_type("params"), F.lit("Unknown"))
-    explicit = (
-        annotations(scoped)
-        .where(F.col("target").isNotNull() & (F.col("method_kind") == "declared"))
-        .select(
-            "file_path",
-            F.lit("mapstruct").alias("type"),
-            "interface",
-            "method",
-            source_type.alias("source_type"),
-            F.col("return_type").alias("target_type"),
-            F.col("source").alias("source_field"),
-            F.col("target").alias("target_field"),
-            _null().alias("target_path"),
-            "expression",
-            _null().alias("value"),
-            "ignore",
-            F.lit(False).alias("implicit"),
-            "pos",
-            "method_pos",
-        )
+def _explicit() -> Column:
+    """An annotation with a target, on a method without body."""
+    target = tk.annotation_attribute("target")
+    return F.when(
+        (F.col("kind") == "mapping")
+        & F.col("in_mapper")
+        & (F.col("method_kind") == "declared")
+        & target.isNotNull(),
+        _mapped(
+            source_field=tk.annotation_attribute("source"),
+            target_field=target,
+            expression=tk.annotation_attribute("expression"),
+            ignore=tk.annotation_ignored(),
+        ),
+    )
+
+
+def _implicit() -> Column:
+    """A method with a parameter and no annotation."""
+    return F.when(
+        (F.col("kind") == "declared")
+        & F.col("in_mapper")
+        & ~F.col("annotated")
+        & tk.first_parameter_type().isNotNull(),
+        _mapped(implicit=F.lit(True)),
+    )
+
+
+def _mapped(**values: Column) -> Column:
+    """One found mapping."""
+    kinds = {
+        "source_field": "string", "target_field": "string", "target_path": "string",
+        "expression": "string", "value": "string", "ignore": "boolean", "implicit": "boolean",
+    }
+    defaults = {"ignore": F.lit(False), "implicit": F.lit(False)}
+    return F.struct(
+        *[
+            values.get(name, defaults.get(name, _null())).cast(kind).alias(name)
+            for name, kind in kinds.items()
+        ]
     )
-    return explicit.unionByName(implicit_mappings(scoped))
 
 
 def implicit_mappings(scoped: DataFrame) -> DataFrame:
     """Mapper methods with a parameter and no annotation."""
-    return (
-        mapper_methods(scoped)
-        .where(~F.col("annotated") & F.col("source_type").isNotNull())
-        .select(
-            "file_path",
-            F.lit("mapstruct").alias("type"),
-            "interface",
-            "method",
-            "source_type",
-            F.col("return_type").alias("target_type"),
-            *[
-                _null().alias(c)
-                for c in ("source_field", "target_field", "target_path", "expression", "value")
-            ],
-            F.lit(False).alias("ignore"),
-            F.lit(True).alias("implicit"),
-            F.col("method_pos").alias("pos"),
-            "method_pos",
-        )
-    )
+    return _as_field_mappings(statements(scoped), F.array(_implicit())).where("implicit")
 
 
 # --- hand-written methods ----------------------------------------------------------------------
 
 
-def pojo_statements(scoped: DataFrame) -> DataFrame:
-    """Statements inside mapping methods, with source and target of the method.
+def statements(scoped: DataFrame) -> DataFrame:
+    """Scoped tokens with source and target of the method, and the parts of each statement.
 
-    A mapping method starts with one of the known prefixes and has one parameter, or two of which
-    the second is the target of a void method.
+    `is_pojo` marks tokens of mapping methods: the name starts with one of the known prefixes and
+    there is one parameter, or two of which the second is the target of a void method. Parts by
+    kind: setter `var.setField(value)`; add `var.add(value)`; local and instance `var` read from
+    the source parameter at `own_path`; field `var.field = ...`.
     """
     prefixes = "|".join(fixed.POJO_PREFIXES)
-    params = tk.parameters("params")
-    two = (F.col("return_type") == "void") & (F.size("__params") == 2)
-    return (
-        scoped.where(
-            (F.col("method_kind") == "body")
-            & F.col("method").rlike(f"^(?:{prefixes})")
-            & ~F.col("return_type").isin(tk.MODIFIERS)
-        )
-        .withColumn("__params", params)
-        .where(F.size("__params").between(1, 2))
-        .select(
-            "file_path",
-            "pos",
-            "kind",
-            "token",
-            "method_pos",
-            "method",
-            "return_type",
-            F.col("__params")[0]["type"].alias("source_type"),
-            F.col("__params")[0]["name"].alias("source_var"),
-            F.when(two, F.get("__params", F.lit(1))["type"])
-            .otherwise(F.col("return_type"))
-            .alias("target_type"),
-            F.when(two, F.get("__params", F.lit(1))["name"]).alias("target_var"),
-        )
+    args, kind = F.col("args"), F.col("kind")
+    first, second = F.get(args, F.lit(0)), F.get(args, F.lit(1))
+    is_pojo = (
+        (F.col("method_kind") == "body")
+        & F.col("method").rlike(f"^(?:{prefixes})")
+        & ~F.col("return_type").isin(tk.MODIFIERS)
+        & F.size(args).between(1, 2)
+    )
+    two = (F.col("return_type") == "void") & (F.size(args) == 2)
+    read = F.when(kind == "local", _part(r"=\s*(\w+)\.")).when(
+        kind == "instance", _part(r"^(\w+)\.")
+    )
+    marked = scoped.withColumn("is_pojo", F.coalesce(is_pojo, F.lit(False)))
+    pojo = F.col("is_pojo")
+    named = marked.select(
+        *marked.columns,
+        first["type"].alias("source_type"),
+        F.when(pojo, first["name"]).alias("source_var"),
+        F.when(pojo & two, second["type"]).otherwise(F.col("return_type")).alias("target_type"),
+        F.when(pojo & two, second["name"]).alias("target_var"),
+        F.when(
+            pojo,
+            F.when(kind == "instance", _part(r"(\w+)$")).when(
+                kind.isin("setter", "add", "local", "field"), _part(r"^(\w+)")
+            ),
+        ).alias("var"),
+        F.when(
+            pojo,
+            F.when(kind == "setter", tx.decapitalise(_part(r"^\w+\.set(\w+)"))).when(
+                kind == "field", _part(r"^\w+\.(\w+)")
+            ),
+        ).alias("field"),
+        F.when(
+            pojo,
+            F.when(
+                kind == "setter", F.trim(F.regexp_extract("token", r"(?Us)^\w+\.set\w+\s*\((.*)\)$", 1))
+            ).when(kind == "add", _part(r"\(\s*(\w+)\s*\)$")),
+        ).alias("value"),
+    )
+    return named.withColumn(
+        "own_path", F.when(pojo & (read == F.col("source_var")), source_path("token"))
     )
 
 
-def pojo_methods(statements: DataFrame) -> DataFrame:
+def pojo_statements(scoped: DataFrame) -> DataFrame:
+    """Statements of mapping methods."""
+    return statements(scoped).where("is_pojo")
+
+
+def pojo_methods(rows: DataFrame) -> DataFrame:
     """Headers of the mapping methods."""
-    return statements.where(F.col("kind") == "body").select(
+    return rows.where((F.col("kind") == "body") & F.col("is_pojo")).select(
         "file_path", "method_pos", "method", "return_type", "source_type", "source_var",
         "target_type", "target_var",
     )
 
 
+def source_path(expression) -> Column:
+    """`src.getX()` -> `x`; `src.getX().get(SOME_KEY)` -> `x.someKey`."""
+    field = tx.decapitalise(F.regexp_extract(expression, r"(?U)\.get(\w+)\s*\(\s*\)", 1))
+    key = F.regexp_extract(expression, r"(?U)\(\s*\)\s*\.get\s*\(\s*\"?(\w+)\"?\s*\)", 1)
+    deeper = F.concat(F.lit("."), F.nullif(tx.snake_to_camel(key), F.lit("")))
+    return F.concat(field, F.coalesce(deeper, F.lit("")))
+
+
+def variable_sources(rows: DataFrame) -> DataFrame:
+    """Local variables read from the source parameter, one row per assignment."""
+    return rows.where(F.col("own_path").isNotNull()).select(
+        "file_path", "method_pos", "var", F.col("own_path").alias("path"), "pos"
+    )
+
+
+def last_sources(variables: DataFrame) -> DataFrame:
+    """The last assignment of each variable in its method wins."""
+    return variables.groupBy("file_path", "method_pos", "var").agg(
+        F.max_by("path", "pos").alias("path")
+    )
+
+
+def list_members(rows: DataFrame) -> DataFrame:
+    """`list.add(item)`: list variable and item variable."""
+    return (
+        rows.where(F.col("is_pojo") & (F.col("kind") == "add"))
+        .select(
+            "file_path", "method_pos", F.col("var").alias("list_var"),
+            F.col("value").alias("item_var"),
+        )
+        .distinct()
+    )
+
+
+def _within(key: str):
+    return Window.partitionBy("file_path", "method_pos", key)
+
+
+def with_sources(rows: DataFrame) -> DataFrame:
+    """Adds `path` to setter calls: the source path of the variable they are given, if it has one."""
+    own = F.col("own_path").isNotNull()
+    key = F.when(own, F.col("var")).when(F.col("kind") == "setter", F.col("value"))
+    last = F.max_by("own_path", F.when(own, F.col("pos"))).over(_within("__key"))
+    return (
+        rows.withColumn("__key", key)
+        .withColumn("path", F.when(F.col("kind") == "setter", last))
+        .drop("__key")
+    )
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """Adds `places` to setter calls: the target fields the variable they are called on ends up in.
+
+    An object is put there itself by `target.setField(object)`, or with others in a list by
+    `list.add(object)` and `target.setField(list)`.
+    """
+    kind = F.col("kind")
+    is_put = F.coalesce(
+        (kind == "setter")
+        & (F.col("var") == F.col("target_var"))
+        & F.col("value").rlike(IDENTIFIER),
+        F.lit(False),
+    )
+    is_add = kind == "add"
+    lists = _within("__list")
+    found = (
+        rows.withColumn("__list", F.when(is_put, F.col("value")).when(is_add, F.col("var")))
+        .withColumn("__outer", F.collect_set(F.when(is_put, F.col("field"))).over(lists))
+        .withColumn("__adds", F.count(F.when(is_add, 1)).over(lists))
+    )
+    place = "array<struct<outer:string,is_item:boolean>>"
+    asks = F.struct(
+        F.when(kind == "setter", F.col("var")).alias("key"), _null(place).alias("gives")
+    )
+    itself = F.array(F.struct(F.col("field").alias("outer"), F.lit(False).alias("is_item")))
+    items = F.transform(
+        "__outer", lambda o: F.struct(o.alias("outer"), F.lit(True).alias("is_item"))
+    )
+
+    def giving(places: Column) -> Column:
+        return F.struct(F.col("value").alias("key"), places.cast(place).alias("gives"))
+
+    roles = (
+        F.when(is_put & (F.col("__adds") == 0), F.array(asks, giving(itself)))
+        .when(is_add, F.array(asks, giving(items)))
+        .otherwise(F.array(asks))
+    )
+    return (
+        found.withColumn("__role", F.explode(roles))
+        .withColumn("__key", F.col("__role.key"))
+        .withColumn(
+            "places",
+            F.array_distinct(F.flatten(F.collect_list("__role.gives").over(_within("__key")))),
+        )
+        .where(F.col("__role.gives").isNull())
+        .select(*rows.columns, F.when(kind == "setter", F.col("places")).alias("places"))
+    )
+
+
 def _own_path(var: Column, field: Column) -> Column:
     """The field, with its variable in front where that is not the target parameter."""
     return F.when(
@@ -165,94 +288,63 @@ def _own_path(var: Column, field: Column) -> Column:
     )
 
 
-def setter_parts(statements: DataFrame) -> DataFrame:
-    """Setter calls: variable, field and argument."""
-    return statements.where(F.col("kind") == "setter").select(
-        "*",
-        _part(r"^(\w+)\.").alias("var"),
-        tx.decapitalise(_part(r"^\w+\.set(\w+)")).alias("field"),
-        F.trim(F.regexp_extract("token", r"(?Us)^\w+\.set\w+\s*\((.*)\)$", 1)).alias("value"),
+def _assigned(source: Column, value: Column | None = None) -> Column:
+    return _mapped(
+        source_field=source,
+        target_field=F.col("field"),
+        target_path=_own_path(F.col("var"), F.col("field")),
+        value=_null() if value is None else value,
     )
 
 
-def setter_assignments(statements: DataFrame) -> DataFrame:
+def _setter() -> Column:
     """`t.setX(src.getY())` where `src` is the source parameter."""
     getter = r"(?U)^(\w+)\.get(\w+)\s*\(\s*\)$"
-    return (
-        setter_parts(statements)
-        .where(F.regexp_extract("value", getter, 1) == F.col("source_var"))
-        .withColumn("source_field", tx.decapitalise(F.regexp_extract("value", getter, 2)))
-        .withColumn("target_field", F.col("field"))
-        .withColumn("target_path", _own_path(F.col("var"), F.col("field")))
-        .withColumn("value", _null())
-        .drop("var", "field")
+    return F.when(
+        (F.col("kind") == "setter")
+        & (F.regexp_extract("value", getter, 1) == F.col("source_var")),
+        _assigned(tx.decapitalise(F.regexp_extract("value", getter, 2))),
     )
 
 
-def direct_assignments(statements: DataFrame) -> DataFrame:
+def _direct() -> Column:
     """`t.x = src.y` or `t.x = src.getY()` where `src` is the source parameter."""
     right = _part(r"=\s*\w+\.(\w+)")
     getter = F.col("token").endswith(")") & right.rlike(r"(?U)^get\w")
     source = F.when(getter, tx.decapitalise(F.substring(right, 4, 1 << 30))).otherwise(right)
-    field = _part(r"^\w+\.(\w+)")
-    return statements.where(
-        (F.col("kind") == "field") & (_part(r"=\s*(\w+)\.") == F.col("source_var"))
-    ).select(
-        "*",
-        source.alias("source_field"),
-        field.alias("target_field"),
-        _own_path(_part(r"^(\w+)\."), field).alias("target_path"),
-        _null().alias("value"),
+    return F.when(
+        (F.col("kind") == "field") & (_part(r"=\s*(\w+)\.") == F.col("source_var")),
+        _assigned(source),
     )
 
 
-def source_path(expression) -> Column:
-    """`src.getX()` -> `x`; `src.getX().get(SOME_KEY)` -> `x.someKey`."""
-    field = tx.decapitalise(F.regexp_extract(expression, r"(?U)\.get(\w+)\s*\(\s*\)", 1))
-    key = F.regexp_extract(expression, r"(?U)\(\s*\)\s*\.get\s*\(\s*\"?(\w+)\"?\s*\)", 1)
-    deeper = F.concat(F.lit("."), F.nullif(tx.snake_to_camel(key), F.lit("")))
-    return F.concat(field, F.coalesce(deeper, F.lit("")))
-
-
-def variable_sources(statements: DataFrame) -> DataFrame:
-    """Local variables read from the source parameter, one row per assignment."""
-    var = F.when(F.col("kind") == "local", _part(r"^(\w+)\s*=")).otherwise(_part(r"(\w+)$"))
-    read = F.when(F.col("kind") == "local", _part(r"=\s*(\w+)\.")).otherwise(_part(r"^(\w+)\."))
-    return statements.where(
-        F.col("kind").isin("local", "instance") & (read == F.col("source_var"))
-    ).select("*", var.alias("var"), source_path("token").alias("path"))
-
-
-def last_sources(variables: DataFrame) -> DataFrame:
-    """The last assignment of each variable in its method wins."""
-    return variables.groupBy("file_path", "method_pos", "var").agg(
-        F.max_by("path", "pos").alias("path")
+def _variable() -> Column:
+    """`target.setX(v)` where `v` was read from the source: the field comes from that path."""
+    on_target = F.col("target_var").isNull() | (F.col("var") == F.col("target_var"))
+    return F.when(
+        (F.col("kind") == "setter") & F.col("path").isNotNull() & on_target,
+        _assigned(F.col("path"), F.col("value")),
     )
 
 
-def with_variable_source(statements: DataFrame) -> DataFrame:
-    """Setter calls whose argument is a variable, with the source path of that variable if it has one."""
-    setters = setter_parts(statements)
-    return setters.join(
-        last_sources(variable_sources(statements)).withColumnRenamed("var", "value"),
-        ["file_path", "method_pos", "value"],
-        "left",
-    )
+def _nested() -> Column:
+    """Fields set on objects that are themselves set on, or added to a list set on, the target.
 
+    `note.setKind(KIND); notes.add(note); target.setNotes(notes)` gives `notes[].kind`.
+    """
 
-def variable_to_target(statements: DataFrame) -> DataFrame:
-    """`target.setX(v)` where `v` was read from the source: the field comes from that path."""
-    return (
-        with_variable_source(statements)
-        .where(
-            F.col("path").isNotNull()
-            & (F.col("target_var").isNull() | (F.col("var") == F.col("target_var")))
+    def at(place: Column) -> Column:
+        field = F.concat(
+            place["outer"], F.when(place["is_item"], "[].").otherwise("."), F.col("field")
         )
-        .withColumn("source_field", F.col("path"))
-        .withColumn("target_field", F.col("field"))
-        .withColumn("target_path", _own_path(F.col("var"), F.col("field")))
-        .drop("var", "field", "path")
-    )
+        return _mapped(
+            source_field=F.col("__source"),
+            target_field=field,
+            target_path=F.concat_ws(".", "target_var", field),
+            value=clipped_value(),
+        )
+
+    return F.transform(F.coalesce("places", F.array()), at)
 
 
 def value_source(value="value", path="path", source_var="source_var") -> Column:
@@ -281,89 +373,69 @@ def clipped_value(value="value") -> Column:
     )
 
 
-def list_members(statements: DataFrame) -> DataFrame:
-    """`list.add(item)`: list variable and item variable."""
-    return statements.where(F.col("kind") == "add").select(
-        "file_path",
-        "method_pos",
-        _part(r"^(\w+)\.").alias("list_var"),
-        _part(r"\(\s*(\w+)\s*\)$").alias("item_var"),
-    )
-
+# --- rows --------------------------------------------------------------------------------------
 
-def nested_assignments(statements: DataFrame) -> DataFrame:
-    """Fields set on objects that are then set on, or added to a list set on, the target.
 
-    `note.setKind(KIND); notes.add(note); target.setNotes(notes)` gives `notes[].kind`.
-    """
-    within = ["file_path", "method_pos"]
-    known = with_variable_source(statements.where(F.col("target_var").isNotNull()))
-    put = known.where(
-        (F.col("var") == F.col("target_var")) & F.col("value").rlike(IDENTIFIER)
-    ).select(*within, F.col("value").alias("list_var"), F.col("field").alias("outer"))
-    checked = (
-        put.distinct()
-        .join(list_members(statements).distinct(), [*within, "list_var"], "left")
+def _as_field_mappings(rows: DataFrame, found: Column) -> DataFrame:
+    """Rows with an array of found mappings as field mappings."""
+    in_mapper = F.col("m.implicit") | (F.col("kind") == "mapping")
+    source_type = F.coalesce("source_type", F.lit("Unknown"))
+    return (
+        rows.withColumn("m", F.explode(F.array_compact(found)))
         .select(
-            *within,
-            "outer",
-            F.coalesce("item_var", "list_var").alias("var"),
-            F.col("item_var").isNotNull().alias("is_item"),
+            "file_path",
+            F.when(in_mapper, "mapstruct").otherwise("pojo").alias("type"),
+            F.when(in_mapper, F.col("decl")).alias("interface"),
+            "method",
+            source_type.alias("source_type"),
+            "target_type",
+            "m.*",
+            "pos",
+            "method_pos",
         )
-    )
-    inner = F.concat(
-        F.col("outer"), F.when(F.col("is_item"), "[].").otherwise("."), F.col("field")
-    )
-    return (
-        known.join(checked, [*within, "var"])
-        .withColumn("source_field", value_source())
-        .withColumn("target_field", inner)
-        .withColumn("target_path", F.concat_ws(".", "target_var", "target_field"))
-        .withColumn("value", clipped_value())
-        .drop("var", "field", "path", "outer", "is_item")
+        .select(*FIELD_MAPPING_COLUMNS)
     )
 
 
-def pojo_field_mappings(statements: DataFrame) -> DataFrame:
-    """All field mappings of the hand-written methods; methods without any have no row.
+def setter_assignments(rows: DataFrame) -> DataFrame:
+    return _as_field_mappings(rows, F.array(_setter()))
+
+
+def direct_assignments(rows: DataFrame) -> DataFrame:
+    return _as_field_mappings(rows, F.array(_direct()))
+
+
+def variable_to_target(rows: DataFrame) -> DataFrame:
+    return _as_field_mappings(with_sources(rows), F.array(_variable()))
 
-    Several branches read the statements: pass held ones, as `field_mappings` does.
-    """
-    parts = [
-        setter_assignments(statements),
-        direct_assignments(statements),
-        variable_to_target(statements),
-        nested_assignments(statements),
-    ]
-    return union_all(parts).select(
-        "file_path",
-        F.lit("pojo").alias("type"),
-        _null().alias("interface"),
-        "method",
-        "source_type",
-        "target_type",
-        "source_field",
-        "target_field",
-        "target_path",
-        _null().alias("expression"),
-        "value",
-        F.lit(False).alias("ignore"),
-        F.lit(False).alias("implicit"),
-        "pos",
-        "method_pos",
-    )
 
+def _with_value_source(rows: DataFrame) -> DataFrame:
+    needed = F.size(F.coalesce("places", F.array())) > 0
+    return rows.withColumn("__source", F.when(needed, value_source()))
 
-# --- both --------------------------------------------------------------------------------------
+
+def nested_assignments(rows: DataFrame) -> DataFrame:
+    resolved = _with_value_source(with_places(with_sources(rows)))
+    return _as_field_mappings(resolved, _nested())
+
+
+def pojo_field_mappings(rows: DataFrame) -> DataFrame:
+    """All field mappings of the hand-written methods; methods without any have no row."""
+    resolved = _with_value_source(with_places(with_sources(rows)))
+    one = F.array(_setter(), _direct(), _variable())
+    return _as_field_mappings(resolved, F.concat(one, _nested()))
+
+
+def mapper_field_mappings(scoped: DataFrame) -> DataFrame:
+    """One row per annotation with a target, and one per method without any (implicit mapping)."""
+    return _as_field_mappings(statements(scoped), F.array(_explicit(), _implicit()))
 
 
 def field_mappings(
     sources: DataFrame, path_col: str = "file_path", text_col: str = "content"
 ) -> DataFrame:
-    """All field mappings of Java sources, one flat row each.
-
-    The scoped tokens are held in the shared folder: both kinds of mapping read them, and they are
-    small next to the texts.
-    """
-    scoped = hold(tk.scoped(tk.tokens(sources, path_col, text_col)))
-    return mapper_field_mappings(scoped).unionByName(pojo_field_mappings(pojo_statements(scoped)))
+    """All field mappings of Java sources, one flat row each, in one pass over the texts."""
+    rows = statements(tk.scoped(tk.tokens(sources, path_col, text_col)))
+    resolved = _with_value_source(with_places(with_sources(rows)))
+    one = F.array(_explicit(), _implicit(), _setter(), _direct(), _variable())
+    return _as_field_mappings(resolved, F.concat(one, _nested()))

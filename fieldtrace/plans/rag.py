@@ -10,6 +10,7 @@ from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 from fieldtrace.operators import chunking, generation, knn
 from fieldtrace.plans import entries as en, lineage
+from fieldtrace.session import hold
 
 
 def _joined(rows: DataFrame, head: str, order: str, name: str) -> DataFrame:
@@ -92,7 +93,7 @@ def extract_on_hits(hits: DataFrame, code: DataFrame) -> DataFrame:
     texts = chunking.join_chunks(
         code.join(files.select("file_path").distinct(), "file_path", "left_semi")
     )
-    found = en.entries(lineage.field_mappings(texts))
+    found = en.entries(hold(lineage.field_mappings(texts)))
     return found.join(files, "file_path")
 
 

@@ -106,13 +106,15 @@ def declarations(toks: DataFrame) -> DataFrame:
 
 
 def signature_parts(token="token") -> list[Column]:
-    """Return type, name and parameter text of a method token."""
+    """Return type, name, parameter text and parameters of a method token."""
+    params = F.trim(
+        F.regexp_extract(token, r"(?s)\((.*)\)\s*+(?:throws\s[^;{}()]*+)?+[;{]$", 1)
+    )
     return [
         _part(token, rf"^(\w++{GENERIC}(?:\s*+\[\])*+)").alias("return_type"),
         _part(token, r"(\w++)\s*+\(").alias("method"),
-        F.trim(F.regexp_extract(token, r"(?s)\((.*)\)\s*+(?:throws\s[^;{}()]*+)?+[;{]$", 1)).alias(
-            "params"
-        ),
+        params.alias("params"),
+        parameters(params).alias("args"),
     ]
 
 
@@ -134,15 +136,15 @@ def parameters(params) -> Column:
     )
 
 
-def first_parameter_type(params) -> Column:
-    return F.get(parameters(params), F.lit(0))["type"]
+def first_parameter_type(args="args") -> Column:
+    return F.get(args, F.lit(0))["type"]
 
 
 def scoped(toks: DataFrame) -> DataFrame:
     """Tokens with the declaration and the method they stand in or, for an annotation, before.
 
     Adds `decl`, `decl_pos`, `in_mapper`; of the method `method_pos`, `method_kind`, `return_type`,
-    `method`, `params`; and for a method `annotated`: a mapping annotation with a target is
+    `method`, `params`, `args`; and for a method `annotated`: a mapping annotation with a target is
     directly before it.
     """
     rows = Window.partitionBy("file_path").orderBy("pos")
@@ -205,6 +207,7 @@ def scoped(toks: DataFrame) -> DataFrame:
             F.col("__m.return_type").alias("return_type"),
             F.col("__m.method").alias("method"),
             F.col("__m.params").alias("params"),
+            F.col("__m.args").alias("args"),
         )
     )
 

@@ -11,6 +11,7 @@ from fieldtrace.functions import text as tx
 from fieldtrace.operators import dedup
 from fieldtrace.operators.embedding import embedded_only
 from fieldtrace.plans import entries as en
+from fieldtrace.session import hold
 
 CODE = "code_files"
 MAPPINGS = "code_mappings"
@@ -35,18 +36,15 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for table in SCHEMAS:
-            if not self._exists(table):
-                self._empty(table)
+            # A folder without files reads as an empty table, as the schema is given.
+            where = spark._jvm.org.apache.hadoop.fs.Path(self._at(table))
+            where.getFileSystem(conf).mkdirs(where)
 
     def _at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(table))
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return where.getFileSystem(conf).exists(where)
-
     def _empty(self, table: str) -> None:
         empty = self.spark.createDataFrame([], SCHEMAS[table])
         empty.coalesce(1).write.mode("overwrite").parquet(self._at(table))
@@ -110,6 +108,8 @@ class Store:
     ) -> int:
         """Mapping records that are not stored yet, with their vectors."""
         batch_id = self.next_batch() if batch_id is None else batch_id
+        # Both the look-up and the write read them, and they are costly to extract.
+        records = hold(records)
         new = dedup.insert_if_absent(records, self.live(MAPPINGS))
         self.append(MAPPINGS, embedded_only(embed(new, "document")), batch_id)
         return batch_id
