@@ -672,7 +672,7 @@ def _(spark, sf):
 
 @check(
     "replace_files",
-    f"with {sq.DOC_SRC}, new as (select file_path, upper(content) as content from src "
+    f"with {sq.DOC_SRC}, new as (select file_path, content || ' changed' as content from src "
     f"where file_path like '%/en/%'), {sq.chunk_records('src', 'old_rec')}, "
     f"{sq.chunk_records('new', 'new_rec')} "
     "select id, file_path, md5(document) as document_md5, 1::bigint as batch_id from old_rec "
@@ -685,7 +685,7 @@ def _(spark, sf):
     sources = text_sources(spark, sf)
     ingest.ingest(store, sources, hash_embed)
     changed = sources.where(F.col("file_path").contains("/en/")).withColumn(
-        "content", F.upper("content")
+        "content", F.concat("content", F.lit(" changed"))
     )
     ingest.ingest(store, changed, hash_embed, mode="replace")
     return store.code().select("id", "file_path", F.md5("document").alias("document_md5"), "batch_id")
@@ -879,8 +879,8 @@ def _(spark, sf):
 @check(
     "store_stats",
     f"with {sq.MAPPING_RECORDS}, {sq.chunk_records()} select "
-    "(select count(distinct file_path) from crec) as total_code_files, "
-    "(select count(*) from crec) as total_code_chunks, "
+    "(select count(distinct file_path) from crec) as total_code_files, (select count(*) from crec "
+    r"where regexp_matches(document, '[\p{L}\p{N}_]')) as total_code_chunks, "
     "(select count(*) from mrec) as total_mappings",
 )
 def _(spark, sf):
@@ -901,14 +901,15 @@ def _(spark, sf):
 
 @check(
     "ingest_totals",
-    _LOG_SQL + " select count(*) as files_processed, count_if(code_stored) as files_stored from log",
+    _LOG_SQL + " select count(*) as files_processed, count_if(code_stored)::bigint as files_stored from log",
 )
 def _(spark, sf):
     return progress.ingest_totals(_log(spark, sf))
 
 
 _SUMMARY_SQL = f"""with {sq.ENTRIES}, summ as (select s.file_path, count(e.type) as total_mappings,
-  count_if(e.type = 'mapstruct') as mapstruct_mappings, count_if(e.type = 'pojo') as pojo_mappings
+  count_if(e.type = 'mapstruct')::bigint as mapstruct_mappings,
+  count_if(e.type = 'pojo')::bigint as pojo_mappings
   from src s left join ent e on e.file_path = s.file_path group by s.file_path)"""
 
 
@@ -919,7 +920,7 @@ def _(spark, sf):
 
 @check(
     "sample_diagnostic",
-    _SUMMARY_SQL + " select count(*) as n_files, count_if(total_mappings > 0) as "
+    _SUMMARY_SQL + " select count(*) as n_files, count_if(total_mappings > 0)::bigint as "
     "files_with_mappings, sum(total_mappings)::bigint as total_mappings from "
     "(select * from summ order by file_path limit 5)",
 )
@@ -952,7 +953,7 @@ def _(spark, sf):
 @check(
     "chunks_stored",
     f"with {sq.DOC_SRC}, {sq.chunk_records()} select file_path, "
-    "count_if(coalesce(chunk_index, 0) % 4 <> 3) as n_stored, "
+    "count_if(coalesce(chunk_index, 0) % 4 <> 3)::bigint as n_stored, "
     "max(coalesce(total_chunks, 1)) as n_total from crec group by file_path",
 )
 def _(spark, sf):
@@ -1398,7 +1399,7 @@ def _(spark, sf):
         .parquet(inbox)
     )
     query = (
-        answers.answers_stream(answers.decode_lines(lines))
+        answers.answers_stream(answers.decode_lines(lines), timeout_seconds=None)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", new_path(spark, "checkpoint"))

@@ -246,10 +246,16 @@ def with_places(rows: DataFrame) -> DataFrame:
     )
     is_add = kind == "add"
     lists = _within("__list")
-    found = (
-        rows.withColumn("__list", F.when(is_put, F.col("value")).when(is_add, F.col("var")))
-        .withColumn("__outer", F.collect_set(F.when(is_put, F.col("field"))).over(lists))
-        .withColumn("__adds", F.count(F.when(is_add, 1)).over(lists))
+    marked = rows.select(
+        "*",
+        F.when(is_put, F.col("value")).when(is_add, F.col("var")).alias("__list"),
+        F.when(is_put, F.col("field")).alias("__put"),
+        F.when(is_add, 1).alias("__add"),
+    )
+    found = marked.select(
+        "*",
+        F.collect_set("__put").over(lists).alias("__outer"),
+        F.count("__add").over(lists).alias("__adds"),
     )
     place = "array<struct<outer:string,is_item:boolean>>"
     asks = F.struct(
@@ -264,7 +270,7 @@ def with_places(rows: DataFrame) -> DataFrame:
         return F.struct(F.col("value").alias("key"), places.cast(place).alias("gives"))
 
     roles = (
-        F.when(is_put & (F.col("__adds") == 0), F.array(asks, giving(itself)))
+        F.when(F.col("__put").isNotNull() & (F.col("__adds") == 0), F.array(asks, giving(itself)))
         .when(is_add, F.array(asks, giving(items)))
         .otherwise(F.array(asks))
     )
@@ -436,6 +442,8 @@ def field_mappings(
 ) -> DataFrame:
     """All field mappings of Java sources, one flat row each, in one pass over the texts."""
     rows = statements(tk.scoped(tk.tokens(sources, path_col, text_col)))
-    resolved = _with_value_source(with_places(with_sources(rows)))
+    # Headers and statements of other methods give nothing.
+    useful = rows.where(F.col("is_pojo") | (F.col("in_mapper") & ~F.col("kind").isin(tk.HEADERS)))
+    resolved = _with_value_source(with_places(with_sources(useful)))
     one = F.array(_explicit(), _implicit(), _setter(), _direct(), _variable())
     return _as_field_mappings(resolved, F.concat(one, _nested()))

@@ -15,7 +15,10 @@ STRING = r'"(?:[^"\\\n]++|\\.)*+"'
 CHARACTER = r"'(?:[^'\\\n]|\\[^\n])[0-9a-fA-F]*+'"
 TEXT_BLOCK = r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
 LITERAL = f"{TEXT_BLOCK}|{STRING}|{CHARACTER}"
-COMMENT_OR_LITERAL = rf"({LITERAL})|//[^\n]*+|/\*[\s\S]*?\*/"
+# The look-ahead rules out most positions by one character.
+COMMENT_OR_LITERAL = (
+    rf"(?=[\"'/])(?:({LITERAL})|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)"
+)
 
 GENERIC = r"(?:<(?:[^<>(){};]++|<[^<>(){};]*+>)*+>)?+"
 ARGUMENTS = rf"\((?:[^()\"';]++|{STRING}|{CHARACTER}|\((?:[^()\"';]++|{STRING}|{CHARACTER}|\([^();]*+\))*+\))*+\)"
@@ -23,19 +26,22 @@ ARGUMENTS = rf"\((?:[^()\"';]++|{STRING}|{CHARACTER}|\((?:[^()\"';]++|{STRING}|{
 MAPPER = rf"@Mapper\b(?:\s*+{ARGUMENTS})?+"
 MAPPING = rf"@Mapping\s*+{ARGUMENTS}"
 HEADER = r"@?\b(?:class|interface)\s++\w++[^{};\"@()]*+\{"
-SIGNATURE = rf"\b\w++{GENERIC}(?:\s*+\[\])*+\s++\w++\s*+{ARGUMENTS}\s*+(?:throws\s[^;{{}}()]*+)?+[;{{]"
-SETTER = rf"\b\w++\.set\w++\s*+{ARGUMENTS}"
-ADD = r"\b\w++\.add\s*+\(\s*+\w++\s*+\)"
-FIELD = r"\b\w++\.\w++\s*+=\s*+\w++\.\w++(?:\s*+\(\s*+\))?+"
-GETTER = r"\w++\.get\w++\s*+\(\s*+\)(?:\s*+\.get\s*+\([^()]*+\))?+"
-LOCAL = rf"\b\w++\s*+=\s*+{GETTER}"
-INSTANCE = rf"\b{GETTER}\s++instanceof\s++\w++{GENERIC}\s++\w++"
-
-TOKEN = "|".join(
-    [MAPPER, MAPPING, HEADER, SIGNATURE, SETTER, ADD, INSTANCE, FIELD, LOCAL, LITERAL]
-)
+GETTER_CALL = r"\.get\w++\s*+\(\s*+\)(?:\s*+\.get\s*+\([^()]*+\))?+"
+# What may follow the first word of a statement or a signature.
+SIGNATURE = rf"{GENERIC}(?:\s*+\[\])*+\s++\w++\s*+{ARGUMENTS}\s*+(?:throws\s[^;{{}}()]*+)?+[;{{]"
+SETTER = rf"\.set\w++\s*+{ARGUMENTS}"
+ADD = r"\.add\s*+\(\s*+\w++\s*+\)"
+INSTANCE = rf"{GETTER_CALL}\s++instanceof\s++\w++{GENERIC}\s++\w++"
+FIELD = r"\.\w++\s*+=\s*+\w++\.\w++(?:\s*+\(\s*+\))?+"
+LOCAL = rf"\s*+=\s*+\w++{GETTER_CALL}"
+
+STATEMENT = rf"\b\w++(?:{SETTER}|{ADD}|{INSTANCE}|{FIELD}|{LOCAL}|{SIGNATURE})"
+TOKEN = "|".join([MAPPER, MAPPING, HEADER, STATEMENT, LITERAL])
 UNICODE = "(?U)"
 
+# What follows the first word of a statement, as far as it tells the kind.
+SHAPE = r"^\w++(\.set\w++\s*+\(|\.add\s*+\(|\.get\w++\s*+\(|\.\w++\s*+=|\s*+=)"
+
 # Words that may stand where a return type or a method name stands, in statements and not in
 # signatures.
 STATEMENT_WORDS = [
@@ -70,31 +76,33 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
     found = F.regexp_extract_all(
         strip_comments(F.col(text_col)), F.lit(UNICODE + TOKEN), F.lit(0)
     )
+    token = F.col("token")
+    words = "|".join(STATEMENT_WORDS)
+    # Cheap tests decide which tokens stay, as a filter on `kind` would work it out twice.
+    other = (
+        token.startswith('"')
+        | token.startswith("'")
+        | (token.startswith("@") & ~token.startswith("@Mapp"))
+        | token.rlike(rf"^(?:{words})\b|^[^(]*?\b(?:{words})\s*+\(")
+    )
+    header = token.endswith("{") & ~token.contains("(")
+    call = F.regexp_extract(token, UNICODE + SHAPE, 1)
     kind = (
-        F.when(F.col("token").rlike("""^["']"""), None)
-        .when(F.col("token").rlike(r"^@Mapper\b"), "mapper")
-        .when(F.col("token").rlike(r"^@Mapping\b"), "mapping")
-        .when(F.col("token").rlike(r"^@"), None)
-        .when(F.col("token").rlike(r"^interface\s[^{]*+\{$"), "interface")
-        .when(F.col("token").rlike(r"^class\s[^{]*+\{$"), "class")
-        .when(F.col("token").rlike(UNICODE + r"^\w++\.set\w++\s*+\("), "setter")
-        .when(F.col("token").rlike(UNICODE + r"^\w++\.add\s*+\("), "add")
-        .when(F.col("token").rlike(UNICODE + rf"^{INSTANCE}$"), "instance")
-        .when(F.col("token").rlike(UNICODE + r"^\w++\.\w++\s*+="), "field")
-        .when(F.col("token").rlike(UNICODE + r"^\w++\s*+="), "local")
-        .when(
-            F.regexp_extract("token", UNICODE + r"^(\w++)", 1).isin(STATEMENT_WORDS)
-            | F.regexp_extract("token", UNICODE + r"(\w++)\s*+\(", 1).isin(STATEMENT_WORDS),
-            None,
-        )
-        .when(F.col("token").endswith("{"), "body")
+        F.when(token.startswith("@Mapper"), "mapper")
+        .when(token.startswith("@"), "mapping")
+        .when(header & token.startswith("interface"), "interface")
+        .when(header, "class")
+        .when(call.endswith("="), F.when(call.startswith("."), "field").otherwise("local"))
+        .when(call.startswith(".set"), "setter")
+        .when(call.startswith(".add"), "add")
+        .when(call.startswith(".get"), "instance")
+        .when(token.endswith("{"), "body")
         .otherwise("declared")
     )
     return (
         sources.select(F.col(path_col).alias("file_path"), F.posexplode(found).alias("pos", "token"))
-        .withColumn("kind", kind)
-        .where(F.col("kind").isNotNull())
-        .select("file_path", "pos", "kind", "token")
+        .where(~other)
+        .select("file_path", "pos", kind.alias("kind"), "token")
     )
 
 

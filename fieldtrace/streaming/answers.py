@@ -68,12 +68,15 @@ def concat_until_done(
     )
 
 
-def answers_stream(chunks: DataFrame, timeout_seconds: int = 600) -> DataFrame:
+def answers_stream(chunks: DataFrame, timeout_seconds: int | None = 600) -> DataFrame:
     """A stream of `(question_id, seq, chunk, done)` to one row per finished answer.
 
     The state of a question holds its chunks until `done` or until nothing came for the timeout;
     then the answer goes out. A mark is kept in place of the chunks so late ones are dropped, and
     goes with the next timeout. Chunks may arrive out of order inside a micro-batch only.
+
+    A timeout keeps the query running to watch the clock. For a run over what is there
+    (`availableNow`) pass None: unfinished answers then stay in the state for the next run.
     """
 
     def gather(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -93,7 +96,8 @@ def answers_stream(chunks: DataFrame, timeout_seconds: int = 600) -> DataFrame:
                 yield _answer(key[0], text, n, True)
                 closed, text, n = True, "", 0
         state.update((closed, text, n))
-        state.setTimeoutDuration(timeout_seconds * 1000)
+        if timeout_seconds is not None:
+            state.setTimeoutDuration(timeout_seconds * 1000)
 
     return (
         chunks.select("question_id", "seq", "chunk", "done")
@@ -103,7 +107,9 @@ def answers_stream(chunks: DataFrame, timeout_seconds: int = 600) -> DataFrame:
             "question_id bigint, answer string, n_chunks bigint, complete boolean",
             "closed boolean, text string, n bigint",
             "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
+            GroupStateTimeout.NoTimeout
+            if timeout_seconds is None
+            else GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
 
