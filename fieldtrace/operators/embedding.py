@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fieldtrace import fixed
@@ -32,31 +33,22 @@ def hash_embed(
     """Feature hashing over whole texts: vector entry = number of words in that bucket.
 
     Words are split and hashed by built-in functions; only the counting of bucket numbers runs in
-    Python, on whole Arrow batches. Texts without words get a null vector.
+    Python, on whole Arrow arrays, and no other column goes there. Texts without words get a null
+    vector.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            n = len(lists)
-            sizes = np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(n), sizes)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            table = np.bincount(owner * dim + flat, minlength=n * dim).astype(np.float32)
-            empty = sizes == 0
-            offsets = pa.array(
-                [None if e else i * dim for i, e in enumerate(empty)] + [n * dim], pa.int32()
-            )
-            vectors = pa.ListArray.from_arrays(offsets, pa.array(table))
-            columns = batch.columns[:-1] + [vectors]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kept = [f for f in df.schema.fields if f.name != out]
-    names = [f.name for f in kept] + [out]
-    schema = T.StructType(kept + [T.StructField(out, T.ArrayType(T.FloatType()))])
-    marked = df.select(*[f.name for f in kept], word_buckets(text_col, dim).alias("__buckets"))
-    filled = marked.withColumn("__buckets", F.coalesce("__buckets", F.array().cast("array<int>")))
-    return filled.mapInArrow(count, schema)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def count(lists: pa.Array) -> pa.Array:
+        lists = pc.fill_null(lists, [])
+        sizes = pc.list_value_length(lists).to_numpy()
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        table = np.bincount(owner * dim + flat, minlength=len(lists) * dim)
+        starts = np.arange(len(lists) + 1, dtype=np.int32) * dim
+        offsets = pa.array(starts, mask=np.append(sizes == 0, False))
+        return pa.ListArray.from_arrays(offsets, pa.array(table.astype(np.float32)))
+
+    return df.withColumn(out, count(word_buckets(text_col, dim)))
 
 
 def with_retries(

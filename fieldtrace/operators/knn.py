@@ -53,7 +53,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -163,25 +163,22 @@ def nearest(
 ) -> DataFrame:
     """Exact `k` nearest rows of every query.
 
-    Queries that fit `scan_bytes` are sent to all tasks and the table is read once, in place. Their
-    size is checked by reading at most that many of them. More queries go through `grid_join`.
+    Queries are counted first. Up to `scan_bytes` they are sent to all tasks and the table is read
+    once, in place; more go through `grid_join`.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     check_k(k)
     table = _vectors(match_all(rows, where), id_col, vector_col, "id")
     asked = _vectors(queries, query_id_col, query_vector_col, "query_id")
-    first = asked.select(F.size("embedding")).first()
-    if first is None:
-        return _ranked(table.sparkSession.createDataFrame([], _hit_schema(asked, table)), k)
-    fits = max(1, scan_bytes // (first[0] * 8))
-    local = asked.limit(fits + 1).toArrow()
-    if len(local) > fits:
+    n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if n and n * dim * 8 > scan_bytes:
         return grid_join(table, asked, k, metric)
-    return _scan(table, asked, local, k, metric, first[0])
+    return _scan(table, asked, k, metric, dim or 0)
 
 
-def _scan(table: DataFrame, asked: DataFrame, local: pa.Table, k: int, metric: str, dim: int):
+def _scan(table: DataFrame, asked: DataFrame, k: int, metric: str, dim: int) -> DataFrame:
+    local = asked.toArrow()
     sent = table.sparkSession.sparkContext.broadcast(
         (local["query_id"].combine_chunks(), _matrix(local["embedding"]))
     )
@@ -189,7 +186,7 @@ def _scan(table: DataFrame, asked: DataFrame, local: pa.Table, k: int, metric: s
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Nearest(*sent.value, k, metric)
         for batch in batches:
-            if len(batch):
+            if len(batch) and len(best.queries):
                 best.add(batch.column(0), _matrix(batch.column(1)))
         result = best.result()
         if result is not None:
@@ -280,13 +277,11 @@ def _sign_rows(bits: int, dim: int) -> np.ndarray:
 def with_cell(df: DataFrame, bits: int, vector_col: str = "embedding") -> DataFrame:
     """Adds `cell`: one bit per hyperplane, set where the vector lies on its positive side."""
 
-    @F.pandas_udf(T.IntegerType())
-    def cell(vectors):
-        import pandas as pd
-
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+    @F.arrow_udf(T.IntegerType())
+    def cell(vectors: pa.Array) -> pa.Array:
+        matrix = _matrix(vectors)
         side = np.round(matrix @ _sign_rows(bits, matrix.shape[1]).T, DIGITS) > 0
-        return pd.Series(side @ (1 << np.arange(bits)))
+        return pa.array((side @ (1 << np.arange(bits))).astype(np.int32))
 
     return df.withColumn("cell", cell(vector_col) if bits else F.lit(0))
 

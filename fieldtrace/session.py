@@ -22,6 +22,8 @@ def get_session(app_name: str = "fieldtrace", master: str | None = None, **conf)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # Longer methods are not compiled to machine code by the JVM.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
