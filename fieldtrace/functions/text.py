@@ -114,11 +114,6 @@ def chunk_id(path, index) -> Column:
     )
 
 
-def md5_bucket(c, buckets: int) -> Column:
-    """A bucket number from the first 32 bits of md5, the same in every engine."""
-    return F.pmod(F.conv(F.substring(F.md5(_col(c)), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
-
-
 def excluded(path, patterns: list[str]) -> Column:
     """Whether a path matches one of the globs. One regular expression for all of them.
 

@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 
 HASH_DIM = 64
-WORD = r"[\p{L}\p{N}_]+"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 EmbedBatch = Callable[[list[str]], list]
 
 
-def word_buckets(c, dim: int = HASH_DIM) -> Column:
-    """The hash bucket of every word of a text, in order."""
-    c = F.col(c) if isinstance(c, str) else c
-    words = F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-    return F.transform(words, lambda w: tx.md5_bucket(w, dim).cast("int"))
+@lru_cache(maxsize=1 << 20)
+def _hash32(word: str) -> int:
+    """The first 32 bits of md5, the same in every engine."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+
+
+def count_buckets(texts: pa.Array, dim: int) -> pa.Array:
+    """Per text the number of words in each hash bucket; null for texts without words.
+
+    Texts are split and words told apart by Arrow; each word that is new to the worker is hashed
+    once.
+    """
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern=BETWEEN_WORDS)
+    words, owner = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    real = pc.not_equal(words, "")
+    words, owner = words.filter(real).dictionary_encode(), owner[real.to_numpy(zero_copy_only=False)]
+    hashed = np.array([_hash32(w) for w in words.dictionary.to_pylist()], dtype=np.int64) % dim
+    n = len(texts)
+    at = owner * dim + hashed[words.indices.to_numpy()]
+    table = np.bincount(at, minlength=n * dim).astype(np.float32)
+    empty = np.bincount(owner, minlength=n) == 0
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim, mask=np.append(empty, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(table))
 
 
 def hash_embed(
@@ -32,23 +52,15 @@ def hash_embed(
 ) -> DataFrame:
     """Feature hashing over whole texts: vector entry = number of words in that bucket.
 
-    Words are split and hashed by built-in functions; only the counting of bucket numbers runs in
-    Python, on whole Arrow arrays, and no other column goes there. Texts without words get a null
-    vector.
+    One Arrow function over the text column; no other column goes to Python. Texts without words
+    get a null vector.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def count(lists: pa.Array) -> pa.Array:
-        lists = pc.fill_null(lists, [])
-        sizes = pc.list_value_length(lists).to_numpy()
-        owner = np.repeat(np.arange(len(lists)), sizes)
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        table = np.bincount(owner * dim + flat, minlength=len(lists) * dim)
-        starts = np.arange(len(lists) + 1, dtype=np.int32) * dim
-        offsets = pa.array(starts, mask=np.append(sizes == 0, False))
-        return pa.ListArray.from_arrays(offsets, pa.array(table.astype(np.float32)))
-
-    return df.withColumn(out, count(word_buckets(text_col, dim)))
+    def count(texts: pa.Array) -> pa.Array:
+        return count_buckets(texts, dim)
+
+    return df.withColumn(out, count(text_col))
 
 
 def with_retries(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def get_session(app_name: str = "fieldtrace", master: str | None = None, **conf)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # Bounds what a batch of long texts takes in a Python worker.
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         # Longer methods are not compiled to machine code by the JVM.
         "spark.sql.codegen.hugeMethodLimit": "8000",
     }
@@ -62,3 +65,18 @@ def hold(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, for sessions started without `--py-files`."""
+    context = spark.sparkContext
+    if getattr(context, "_fieldtrace_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fieldtrace-package-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "fieldtrace"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    # The driver serves the archive to all executors.
+    context.addPyFile(archive)
+    context._fieldtrace_shipped = True
