@@ -67,16 +67,17 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, for sessions started without `--py-files`."""
+def ship(spark: SparkSession, *folders: str) -> None:
+    """Sends this package, and packages in other folders, to the Python workers.
+
+    For sessions that were started without `--py-files`.
+    """
     context = spark.sparkContext
-    if getattr(context, "_fieldtrace_shipped", False):
-        return
-    package = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="fieldtrace-package-")
-    archive = shutil.make_archive(
-        os.path.join(folder, "fieldtrace"), "zip", os.path.dirname(package), os.path.basename(package)
-    )
-    # The driver serves the archive to all executors.
-    context.addPyFile(archive)
-    context._fieldtrace_shipped = True
+    shipped = context.__dict__.setdefault("_fieldtrace_shipped", set())
+    for folder in (os.path.dirname(os.path.abspath(__file__)), *folders):
+        if folder not in shipped:
+            parent, name = os.path.split(folder.rstrip("/"))
+            target = os.path.join(tempfile.mkdtemp(prefix="fieldtrace-"), name)
+            # The driver serves the archive to all executors.
+            context.addPyFile(shutil.make_archive(target, "zip", parent, name))
+            shipped.add(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldtrace import fixed
@@ -53,7 +53,12 @@ def ingest_stream(
     first = store.next_batch()
 
     def put(batch: DataFrame, number: int) -> None:
-        job.ingest(store, batch, embed, mode, with_mappings, first + number)
+        # Read by the look-up of stored ids and by the write.
+        batch.persist()
+        try:
+            job.ingest(store, batch, embed, mode, with_mappings, first + number)
+        finally:
+            batch.unpersist()
 
     return (
         sources.writeStream.foreachBatch(put)
@@ -63,19 +68,17 @@ def ingest_stream(
     )
 
 
-def progress(query: StreamingQuery, total: int | None = None) -> list[dict]:
-    """Rows read per micro-batch and in all, from the query's own progress reports."""
-    out, done = [], 0
-    for report in query.recentProgress:
-        if report["numInputRows"]:
-            done += report["numInputRows"]
-            row = {"batch": report["batchId"], "n_files": report["numInputRows"], "processed": done}
-            out.append(row | ({"percent": round(100 * done / total, 1)} if total else {}))
-    return out
+def stored_progress(store: Store, total: int | None = None) -> DataFrame:
+    """Per micro-batch: files and records it stored, files stored so far, percent of `total`.
 
-
-def stored_batches(store: Store) -> DataFrame:
-    """Files and records per micro-batch in the code table."""
-    return store.code().groupBy("batch_id").agg(
-        F.count_distinct("file_path").alias("n_files"), F.count("*").alias("n_records")
+    The running count goes over one row per micro-batch.
+    """
+    so_far = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    done = F.col("processed")
+    return (
+        store.code()
+        .groupBy("batch_id")
+        .agg(F.count_distinct("file_path").alias("n_files"), F.count("*").alias("n_records"))
+        .withColumn("processed", F.sum("n_files").over(so_far))
+        .withColumn("percent", F.round(done / F.lit(total) * 100, 1))
     )
