@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fieldtrace.session import hold, small
+
 SLICE = 65536
 
 
@@ -16,11 +18,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows of `new` whose id is not in `existing`.
 
-    The ids already there are looked up first: a semi join that keeps at most one row per new id
-    and, for a small batch, streams over the stored ids without a shuffle.
+    The stored ids among the new ones are looked up first. For a batch of some size the new ids are
+    broadcast, so the stored table, which may be far larger, is read in place and never shuffled.
     """
-    known = existing.select(key).join(new.select(key), key, "left_semi").distinct()
-    return new.join(known, key, "left_anti")
+    ids = small(hold(new.select(key)))
+    known = hold(existing.select(key).join(ids, key, "left_semi").distinct())
+    return new.join(small(known), key, "left_anti")
 
 
 def unique_ids(df: DataFrame, key: str = "id", order: str = "pos", slice_rows: int = SLICE) -> DataFrame:

@@ -60,7 +60,8 @@ def hash_embed(
     def count(texts: pa.Array) -> pa.Array:
         return count_buckets(texts, dim)
 
-    return df.withColumn(out, count(text_col))
+    # A filter on the vector would else be pushed below it and count a second time.
+    return df.withColumn(out, count.asNondeterministic()(text_col))
 
 
 def with_retries(
@@ -115,7 +116,7 @@ def embed_with(
 
     if concurrency:
         df = df.repartition(concurrency)
-    return df.withColumn(out, vectors(tx.embed_input(text_col)))
+    return df.withColumn(out, vectors.asNondeterministic()(tx.embed_input(text_col)))
 
 
 def embedded_only(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -41,7 +41,7 @@ def generate(
     system = F.col(system_col) if system_col else F.lit(None).cast("string")
     if concurrency:
         prompts = prompts.repartition(concurrency)
-    return prompts.withColumn(out, answers(F.col(prompt_col), system))
+    return prompts.withColumn(out, answers.asNondeterministic()(F.col(prompt_col), system))
 
 
 def describe_prompt(code, mapping: Column) -> Column:

@@ -10,7 +10,7 @@ from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 from fieldtrace.operators import chunking, generation, knn
 from fieldtrace.plans import entries as en, lineage
-from fieldtrace.session import hold
+from fieldtrace.session import hold, small
 
 
 def _joined(rows: DataFrame, head: str, order: str, name: str) -> DataFrame:
@@ -74,25 +74,23 @@ def stored_section(hits: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def _with_records(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """Hits with their texts: texts are kept out of the distance stage and joined here."""
-    return records.join(hits.select("query_id", "rank", "id", "distance"), "id")
+    """Held hits with their texts: texts are kept out of the distance stage and joined here."""
+    return records.join(small(hits).select("query_id", "rank", "id", "distance"), "id")
 
 
 def extract_on_hits(hits: DataFrame, code: DataFrame) -> DataFrame:
     """Mapping entries of the files that were hit, per question, in the order of the hits.
 
     All chunks of a hit file are joined first, so a method cut by a chunk border is found. A file
-    is extracted once however many questions hit it.
+    is extracted once however many questions hit it. `hits` are held.
     """
-    files = (
+    files = hold(
         code.select("id", "file_path")
-        .join(hits.select("query_id", "rank", "id"), "id")
+        .join(small(hits).select("query_id", "rank", "id"), "id")
         .groupBy("query_id", "file_path")
         .agg(F.min("rank").alias("rank"))
     )
-    texts = chunking.join_chunks(
-        code.join(files.select("file_path").distinct(), "file_path", "left_semi")
-    )
+    texts = chunking.join_chunks(code.join(small(files), "file_path", "left_semi"))
     found = en.entries(hold(lineage.field_mappings(texts)))
     return found.join(files, "file_path")
 
@@ -116,7 +114,10 @@ def build_context(
     mappings: DataFrame | None,
     extract: bool = True,
 ) -> DataFrame:
-    """`questions` with the column `context`; a fixed text where nothing was retrieved."""
+    """`questions` with the column `context`; a fixed text where nothing was retrieved.
+
+    Hits are held tables: several sections read them.
+    """
     sections = []
     if code_hits is not None:
         sections.append(code_section(code_hits, code))
@@ -168,10 +169,14 @@ def answer_questions(
     `embed(df, text_col)` adds `embedding`. A question without vector or without answer gets its
     text in `error`.
     """
-    asked = embed(questions.select("query_id", "question"), "question")
+    # Vectors and hits are read by several steps: the model is asked and the tables are searched once.
+    asked = hold(embed(questions.select("query_id", "question"), "question"))
     usable = asked.where(F.col("embedding").isNotNull())
-    code_hits = knn.nearest(code, usable, k, metric=metric) if use_full_code else None
-    mapping_hits = knn.nearest(mappings, usable, k, metric=metric) if mappings is not None else None
+    code_hits = mapping_hits = None
+    if use_full_code:
+        code_hits = hold(knn.nearest(code, usable, k, metric=metric))
+    if mappings is not None:
+        mapping_hits = hold(knn.nearest(mappings, usable, k, metric=metric))
     found = build_context(
         usable.select("query_id", "question"), code_hits, code, mapping_hits, mappings, extract
     )

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local_dir: str | None = None
 
@@ -67,6 +67,17 @@ def hold(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def small(held: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A held table of short rows, marked for broadcast if a count shows that it is small.
+
+    Beyond that the join is left to Spark, which shuffles both sides.
+    """
+    return F.broadcast(held) if held.count() <= max_rows else held
+
+
 def ship(spark: SparkSession, *folders: str) -> None:
     """Sends this package, and packages in other folders, to the Python workers.
 
