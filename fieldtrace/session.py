@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,8 +26,6 @@ def get_session(app_name: str = "fieldtrace", master: str | None = None, **conf)
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # Bounds what a batch of long texts takes in a Python worker.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
-        # Longer methods are not compiled to machine code by the JVM.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({k: str(v) for k, v in conf.items()})
     for key, value in settings.items():
@@ -81,14 +80,27 @@ def small(held: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def ship(spark: SparkSession, *folders: str) -> None:
     """Sends this package, and packages in other folders, to the Python workers.
 
-    For sessions that were started without `--py-files`.
+    For sessions that were started without `--py-files`. The archives go through the shared folder.
     """
     context = spark.sparkContext
     shipped = context.__dict__.setdefault("_fieldtrace_shipped", set())
     for folder in (os.path.dirname(os.path.abspath(__file__)), *folders):
         if folder not in shipped:
-            parent, name = os.path.split(folder.rstrip("/"))
-            target = os.path.join(tempfile.mkdtemp(prefix="fieldtrace-"), name)
-            # The driver serves the archive to all executors.
-            context.addPyFile(shutil.make_archive(target, "zip", parent, name))
+            path = f"{new_path(spark, 'package')}/{os.path.basename(folder)}.zip"
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+            out.write(_archive(folder))
+            out.close()
+            context.addPyFile(path)
             shipped.add(folder)
+
+
+def _archive(folder: str) -> bytes:
+    root, data = os.path.dirname(folder), io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, names in os.walk(folder):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    archive.write(path, os.path.relpath(path, root))
+    return data.getvalue()
