@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldtrace.llm import line_dedup
+from fieldtrace.llm import line_dedup, near_dup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_minhash_near_dup": near_dup.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES: dict[str, str] = {
+    "op7_minhash_near_dup": near_dup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

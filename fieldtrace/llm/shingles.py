@@ -1,10 +1,10 @@
-"""Sets of word shingles as sorted 64-bit hashes."""
+"""Sets of word shingles as sorted 64-bit hashes (signed, as Spark has them)."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from fieldtrace.llm.hashing import IS_SPACE, LOWER, RangeHash, U64, combine
+from fieldtrace.llm.hashing import IS_SPACE, LOWER, RangeHash, combine
 
 _WORDS = RangeHash(11)
 
@@ -27,13 +27,13 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     """
     words, at = word_hashes(texts)
     if len(words) >= width:
-        rows = combine([words[i : len(words) - width + 1 + i] for i in range(width)])
+        rows = combine([words[i : len(words) - width + 1 + i] for i in range(width)]).view(np.int64)
     found = []
     for start, end in zip(at[:-1], at[1:], strict=True):
         if end - start >= width:
             found.append(np.unique(rows[start : end - width + 1]))
         elif end > start:
-            found.append(combine([words[i : i + 1] for i in range(start, end)]))
+            found.append(combine([words[i : i + 1] for i in range(start, end)]).view(np.int64))
         else:
-            found.append(np.empty(0, dtype=U64))
+            found.append(np.empty(0, dtype=np.int64))
     return found
