@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fieldtrace.session import new_path
 
@@ -61,16 +61,38 @@ def _block(batch: pa.RecordBatch, column: pa.Array, start: int, end: int) -> Blo
     return rows, [text or b"" for text in texts]
 
 
-def map_blocks(
-    df: DataFrame, text: str, make: Callable[[pa.Table, list[bytes]], pa.Table], schema: str
+def add_columns(
+    docs: DataFrame,
+    text_col: str,
+    make: Callable[[list[bytes]], dict[str, pa.Array]],
+    added: str,
+    limit: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """`make(rows, texts)` for every block of the table's texts, as Arrow tables of `schema`."""
+    """`docs` with the columns `added` (as DDL), which `make` works out from a list of texts.
+
+    Columns of `docs` with a name among the added ones give way. All columns travel as one struct, so
+    that names that differ in case only, or types without a DDL of their own, do no harm.
+    """
+    names = [f.name for f in T.StructType.fromDDL(added).fields]
+    others = [c for c in docs.columns if c not in names]
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), F.col(f"`{text_col}`").alias("text")
+    )
+    schema = T.StructType([packed.schema["rest"], *T.StructType.fromDDL(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, text):
-            yield from make(rows, texts).to_batches()
+        for rows, texts in blocks(batches, "text", limit):
+            yield from pa.table({"rest": rows["rest"], **make(texts)}).to_batches()
+
+    found = packed.mapInArrow(run, schema)
+    return found.select(*[F.col(f"rest.`{c}`") for c in others], *names)
+
 
-    return df.mapInArrow(run, schema)
+def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `values[begin:begin + size]` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(begins - (ends - sizes), sizes)], ends
 
 
 # === files that tasks write and read ===========================================================
