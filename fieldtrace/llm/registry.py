@@ -8,21 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrace.llm import (
     line_dedup,
+    mixing,
     near_dup,
     sentencepiece_viterbi,
     stream_dedup,
     token_files,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.query,
     "op3_stream_dedup": stream_dedup.query,
     "op4_sentencepiece": sentencepiece_viterbi.query,
+    "op5_warc": warc.query,
     "op7_minhash_near_dup": near_dup.query,
     "op9_token_files": token_files.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op3_stream_dedup": stream_dedup.SQL,
+    "op5_warc": warc.SQL,
     "op7_minhash_near_dup": near_dup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
