@@ -184,7 +184,7 @@ def build_index(counts: DataFrame, shard_lines: int = SHARD_LINES) -> Files:
             # A task that runs twice writes the same bytes; the rename shows them whole.
             path = f"{inner}/{key[0]}.{part}"
             temporary = f"{path}.{np.random.default_rng().integers(1 << 62)}"
-            with system.open_output_stream(temporary) as out:
+            with system.open_output_stream(temporary, compression=None) as out:
                 out.write(data)
             system.move(temporary, path)
         return pd.DataFrame({"shard": [key[0]], "parts": [len(parts)]})

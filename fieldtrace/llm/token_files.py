@@ -251,7 +251,7 @@ def write_tokens(
         name = f"{context.partitionId():05d}-{context.taskAttemptId()}.tokens"
         encode = encoder(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer))
         end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
-        with system.open_output_stream(f"{inner}/.{name}") as out:
+        with system.open_output_stream(f"{inner}/.{name}", compression=None) as out:
             writer = TokenWriter(out)
             for rows, texts in blocks(batches, "text", BLOCK):
                 ids = rows["id"].fill_null(np.iinfo(np.int64).min).to_pylist()

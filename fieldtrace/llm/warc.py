@@ -206,7 +206,7 @@ def write_warc(
         context = TaskContext.get()
         name = f"{context.partitionId():05d}-{context.taskAttemptId()}.warc.gz"
         size = n = 0
-        with system.open_output_stream(f"{inner}/.{name}") as out:
+        with system.open_output_stream(f"{inner}/.{name}", compression=None) as out:
             for batch in batches:
                 for row in zip(*[batch.column(i) for i in range(batch.num_columns)], strict=True):
                     page_id, url, body, digest, refers_to = (value.as_py() for value in row)
@@ -230,7 +230,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
     holds other archives uncompressed within a member needs `split_bytes` as large as its files.
     """
     ranges = files.select(
-        "file", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start")
+        "file", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes))).alias("start")
     )
     n = ranges.count()
     schema = (
@@ -244,10 +244,10 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for path, length, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for path, start in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 system, inner = filesystem(path)
                 with system.open_input_file(inner) as file:
-                    for data in records(file, length, start, start + split_bytes):
+                    for data in records(file, file.size(), start, start + split_bytes):
                         held.append(parse_record(data))
                         size += len(data)
                         if size >= BATCH_BYTES:
