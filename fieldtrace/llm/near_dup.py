@@ -153,56 +153,72 @@ def _heads(lists: DataFrame) -> DataFrame:
 
 
 def _rest(lists: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of a list that are in different components yet and may be similar.
+    """Pairs of members of one list that are in different components yet and may be similar.
 
-    Common shingles are shingles that some other listed set has; a set with too few of those has no
-    partner and drops out before any pairing. So does a list whose members are all joined.
+    Lists whose members are all joined are done. For the others the whole sets decide: similar sets
+    share one of the few shingles that are rarest among the members, as many as may be missing. Edits
+    make rare shingles, so a set with enough of its own has no partner, or few.
     """
     placed = lists.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = (
         placed.groupBy("value")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("shortest")
+        )
         .where(F.col("low") != F.col("high"))
-        .select("value")
+        .select("value", "shortest")
     )
-    placed = written(placed.join(open_lists, "value"), "open-lists")
-    members = placed.select("id").distinct()
-    shingles = sets.join(members, "id", "left_semi").select("id", F.explode("members").alias("shingle"))
-    alone = (
-        shingles.groupBy("shingle")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-        .where(F.col("n") == 1)
+    members = written(
+        placed.join(open_lists, "value")
         .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("alone"))
+        .agg(
+            F.first("component").alias("component"),
+            F.max("score").alias("score"),
+            F.min("shortest").alias("shortest"),
+        ),
+        "open-members",
+    )
+    entries = sets.join(members.select("id"), "id", "left_semi").select(
+        "id", "n", F.explode("members").alias("shingle")
     )
-    placed = placed.join(alone, "id", "left").withColumn(
-        "common", F.col("n") - F.coalesce("alone", F.lit(0))
+    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
+    own = (
+        entries.join(shared, "shingle")
+        .groupBy("id", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+        .join(members, "id")
     )
-    # A partner of n' >= least members shares `common` of them at most: (1 + t) common >= t (n + n').
-    shortest = placed.groupBy("value").agg(F.min("n").alias("shortest"))
+    # Partners of n' members, with `least` the smallest n' there is: (1 + t) overlap >= t (n + n').
     least = F.greatest("shortest", F.ceil(F.col("n") * percent / 100))
+    overlap = F.ceil(percent * (F.col("n") + least) / (100 + percent))
+    listed = (F.size("common") - overlap + 1).cast("int")
     able = written(
-        placed.join(shortest, "value")
-        .where((100 + percent) * F.col("common") >= percent * (F.col("n") + least))
-        .select("value", "id", "n", "common", "component", "score"),
-        "open-members",
+        own.where(listed > 0)
+        .withColumn("common", F.slice("common", F.lit(1), listed))
+        .select("id", "n", "component", "score", F.explode("common.shingle").alias("shingle")),
+        "open-lists",
+    )
+    main = (
+        able.groupBy("shingle")
+        .agg(
+            F.max(F.struct("score", (-F.col("id")).alias("order"), "component")).alias("head"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+        )
+        .where(F.col("low") != F.col("high"))
+        .select("shingle", F.col("head.component").alias("main"))
     )
-    main = able.groupBy("value").agg(
-        F.max(F.struct("score", (-F.col("id")).alias("order"), "component")).alias("head")
-    ).select("value", F.col("head.component").alias("main"))
-    able = able.join(main, "value")
+    able = able.join(main, "shingle")
     x = able.where(F.col("component") != F.col("main")).select(
-        "value", "main", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "common", "component")]
+        "shingle", "main", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "component")]
     )
-    y = able.select("value", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "common", "component")])
-    bound = F.least("common_x", "common_y")
+    y = able.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "component")])
     possible = (
         (F.col("component_x") != F.col("component_y"))
         & ((F.col("component_y") == F.col("main")) | (F.col("id_x") < F.col("id_y")))
         & _sizes_allow(F.col("n_x"), F.col("n_y"), percent)
-        & _alike(bound, F.col("n_x"), F.col("n_y"), percent)
     )
-    return x.join(y, "value").where(possible).select(_pair("id_x", "id_y")).select("p.*").distinct()
+    return x.join(y, "shingle").where(possible).select(_pair("id_x", "id_y")).select("p.*").distinct()
 
 
 def _pair(x: str, y: str) -> Column:

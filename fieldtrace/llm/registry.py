@@ -10,6 +10,7 @@ from fieldtrace.llm import (
     line_dedup,
     mixing,
     near_dup,
+    quality_rules,
     sentencepiece_viterbi,
     stream_dedup,
     token_files,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": sentencepiece_viterbi.query,
     "op5_warc": warc.query,
     "op7_minhash_near_dup": near_dup.query,
+    "op8_quality_rules": quality_rules.query,
     "op9_token_files": token_files.query,
     "op10_line_dedup": line_dedup.query,
 }
