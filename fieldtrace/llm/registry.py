@@ -11,6 +11,7 @@ from fieldtrace.llm import (
     mixing,
     near_dup,
     quality_rules,
+    secrets,
     sentencepiece_viterbi,
     stream_dedup,
     token_files,
@@ -19,6 +20,7 @@ from fieldtrace.llm import (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.query,
+    "op2_secrets": secrets.query,
     "op3_stream_dedup": stream_dedup.query,
     "op4_sentencepiece": sentencepiece_viterbi.query,
     "op5_warc": warc.query,
