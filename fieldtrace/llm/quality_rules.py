@@ -39,7 +39,7 @@ def _repeat_words(hashes: Column) -> Column:
 
 
 def _covered(rows: Column) -> Column:
-    n = F.size(rows)
+    n = F.greatest(F.size(rows), F.lit(1))
     sides = F.zip_with(F.slice(rows, F.lit(1), n - 1), F.slice(rows, F.lit(2), n - 1), lambda a, b: F.struct(
         (a["h"] == b["h"]).alias("same"), F.array(a["i"], b["i"]).alias("at")))
     places = F.flatten(F.transform(F.filter(sides, lambda s: s["same"]), lambda s: s["at"]))

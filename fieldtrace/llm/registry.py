@@ -10,6 +10,7 @@ from fieldtrace.llm import (
     line_dedup,
     mixing,
     near_dup,
+    quality_net,
     quality_rules,
     secrets,
     sentencepiece_viterbi,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_stream_dedup": stream_dedup.query,
     "op4_sentencepiece": sentencepiece_viterbi.query,
     "op5_warc": warc.query,
+    "op6_quality_net": quality_net.query,
     "op7_minhash_near_dup": near_dup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_token_files": token_files.query,
