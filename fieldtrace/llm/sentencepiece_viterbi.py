@@ -14,14 +14,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from fieldtrace.llm.common import add_columns, ragged, table
+from fieldtrace.llm.common import add_columns, packed_columns, ragged, table, unpacked, without
 
 MODEL = "piece_bpe_32k.model"
 # The mark that stands for a space, and what an unknown character costs beside the
 # worst piece.
 MARK, PENALTY = "▁", 10.0
 SPACE_BYTE = 0xFF  # stands for a space; occurs in no UTF-8 text
-CELLS = 1 << 20  # positions worked on at once
+CELLS = 1 << 19  # positions worked on at once
+TEXT_BYTES = 2 << 20  # of texts encoded together
 
 
 class Vocabulary:
@@ -226,29 +227,37 @@ def vocabulary(name: str = MODEL) -> Vocabulary:
     return _known[name]
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode(
+    docs: DataFrame, text_col: str = "text", model: str = MODEL, with_decoded: bool = False
+) -> DataFrame:
     """`docs` with ids (array<int>) and n_tokens of whole texts; columns of those names give way.
 
     Empty and null texts have no ids. Any text comes back exactly from `decode`: the mark that stands
-    for a space is, as a character of a text, spelt in bytes.
+    for a space is, as a character of a text, spelt in bytes. `with_decoded` adds what the ids decode
+    to, worked out by the same task.
     """
 
     def make(texts: list[bytes]) -> dict[str, pa.Array]:
         ids, counts = vocabulary(model).encode(texts)
         offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-        return {
+        found = {
             "ids": pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
             "n_tokens": pa.array(counts, pa.int64()),
         }
+        if with_decoded:
+            back = vocabulary(model).decode(ids, counts)
+            found["decoded"] = pa.array(back, pa.binary()).cast(pa.string())
+        return found
 
-    return add_columns(docs, text_col, make, "ids array<int>, n_tokens long")
+    added = "ids array<int>, n_tokens long" + (", decoded string" if with_decoded else "")
+    return add_columns(docs, text_col, make, added, TEXT_BYTES)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """`tokens` with the texts of its ids. Null ids give an empty text; null entries count as id 0."""
-    others = [c for c in tokens.columns if c != out_col]
+    others = without(tokens, out_col)
     packed = tokens.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"),
+        packed_columns(others),
         F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"),
     )
 
@@ -262,18 +271,17 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mo
 
     schema = T.StructType([packed.schema["rest"], T.StructField("decoded", T.StringType())])
     found = packed.mapInArrow(run, schema)
-    return found.select(*[F.col(f"rest.`{c}`") for c in others], F.col("decoded").alias(out_col))
+    return found.select(*unpacked(others), F.col("decoded").alias(out_col))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether the ids give the whole text back."""
-    docs = table(spark, sf_dir, "documents")
-    plain = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
-    tokens = encode(docs.select("doc_id", "text")).select(
-        "doc_id", "n_tokens", "ids", plain.alias("text_sha256")
-    )
-    found = decode(tokens)
-    back = F.sha2(F.encode("decoded", "utf-8"), 256)
-    return found.select(
-        "doc_id", "n_tokens", "ids", "text_sha256", (F.col("text_sha256") == back).alias("round_trip")
+    """doc_id, n_tokens, ids, the text's digest, and whether the ids give the whole text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return encode(docs, with_decoded=True).select(
+        "doc_id",
+        "n_tokens",
+        "ids",
+        F.sha2(F.encode(text, "utf-8"), 256).alias("text_sha256"),
+        (F.col("decoded") == text).alias("round_trip"),
     )
