@@ -17,9 +17,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     net = quality_net.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality_net.classify(docs.withColumnRenamed("score", "\0score"), net)
-    kept = scored.where(F.col("score") >= quality_net.KEEP).drop("score")
-    return kept.withColumnRenamed("\0score", "score").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    # As one column, so that none of theirs gives way to the score.
+    kept = quality_net.classify(rows, net).where(F.col("score") >= quality_net.KEEP)
+    return kept.select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 # Texts that a Python task works on at once; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 Block = tuple[pa.Table, list[bytes]]
 
@@ -64,28 +64,47 @@ def _block(batch: pa.RecordBatch, column: pa.Array, start: int, end: int) -> Blo
 def add_columns(
     docs: DataFrame,
     text_col: str,
-    make: Callable[[list[bytes]], dict[str, pa.Array]],
+    make: Callable[..., dict[str, pa.Array]],
     added: str,
     limit: int = BLOCK_BYTES,
+    given: Column | None = None,
 ) -> DataFrame:
     """`docs` with the columns `added` (as DDL), which `make` works out from a list of texts.
 
-    Columns of `docs` with a name among the added ones give way. All columns travel as one struct, so
-    that names that differ in case only, or types without a DDL of their own, do no harm.
+    `given` is a further value per row that `make` takes beside the texts. Columns of `docs` with a name
+    among the added ones give way. All columns travel as one struct, so that their names do no harm.
     """
-    names = [f.name for f in T.StructType.fromDDL(added).fields]
-    others = [c for c in docs.columns if c not in names]
+    fields = T.StructType.fromDDL(added).fields
+    others = without(docs, *[f.name for f in fields])
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"), F.col(f"`{text_col}`").alias("text")
+        packed_columns(others),
+        F.col(f"`{text_col}`").alias("text"),
+        (F.lit(None).cast("int") if given is None else given).alias("given"),
     )
-    schema = T.StructType([packed.schema["rest"], *T.StructType.fromDDL(added).fields])
+    schema, more = T.StructType([packed.schema["rest"], *fields]), given is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text", limit):
-            yield from pa.table({"rest": rows["rest"], **make(texts)}).to_batches()
+            found = make(texts, rows["given"]) if more else make(texts)
+            yield from pa.table({"rest": rows["rest"], **found}).to_batches()
 
     found = packed.mapInArrow(run, schema)
-    return found.select(*[F.col(f"rest.`{c}`") for c in others], *names)
+    return found.select(*unpacked(others), *[f"`{f.name}`" for f in fields])
+
+
+def packed_columns(names: list[str]) -> Column:
+    """Columns as one struct, with names of its own."""
+    return F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("rest")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)]
+
+
+def without(docs: DataFrame, *names: str) -> list[str]:
+    """The columns of `docs` but those; as in Spark, case makes no difference."""
+    gone = {name.lower() for name in names}
+    return [c for c in docs.columns if c.lower() not in gone]
 
 
 def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldtrace.llm.common import blocks, filesystem, new_folder, table, written
+from fieldtrace.llm.common import add_columns, blocks, filesystem, new_folder, table, without, written
 from fieldtrace.llm.hashing import IS_SPACE, LOWER, RangeHash, U64, mix
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -244,40 +244,27 @@ def drop_lines(
     stay.
     """
     files = build_index(line_counts(docs, id_col, text_col, min_chars, min_docs))
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    # Other columns travel as one struct, so that their names and types cannot clash.
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"),
-        F.col(id_col).cast("long").alias("id"),
-        F.col(text_col).alias("text"),
-    )
-    rest = packed.schema["rest"].dataType.simpleString()
-
-    def probe(batches):
-        index = Index(files)
-        for rows, texts in blocks(batches, "text"):
-            lines = Lines(texts, min_chars)
-            ids = rows["id"].fill_null(NO_ID).to_numpy()
-            known, keeper = index.keepers(lines.h1, lines.h2)
-            gone = np.zeros(len(lines.starts), dtype=bool)
-            gone[lines.long] = known & (keeper != ids[lines.owner[lines.long]])
-            dropped = np.bincount(lines.owner[gone], minlength=len(texts))
-            kept = [text if not dropped[i] else _rest(lines, gone, i) for i, text in enumerate(texts)]
-            out = pa.table(
-                {
-                    "rest": rows["rest"],
-                    "text": pa.array(kept, pa.binary()).cast(pa.string()),
-                    "n_lines": pa.array(np.diff(lines.first), pa.int64()),
-                    "n_dropped": pa.array(dropped, pa.int64()),
-                }
-            )
-            yield from out.to_batches()
-
-    found = packed.mapInArrow(
-        probe, f"rest {rest}, text string, n_lines long, n_dropped long"
-    )
-    columns = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in docs.columns
-               if c not in ("n_lines", "n_dropped")]
+    index: list[Index] = []  # one per task
+
+    def probe(texts: list[bytes], ids: pa.ChunkedArray) -> dict[str, pa.Array]:
+        if not index:
+            index.append(Index(files))
+        lines = Lines(texts, min_chars)
+        own = ids.fill_null(NO_ID).to_numpy()
+        known, keeper = index[0].keepers(lines.h1, lines.h2)
+        gone = np.zeros(len(lines.starts), dtype=bool)
+        gone[lines.long] = known & (keeper != own[lines.owner[lines.long]])
+        dropped = np.bincount(lines.owner[gone], minlength=len(texts))
+        kept = [text if not dropped[i] else _rest(lines, gone, i) for i, text in enumerate(texts)]
+        return {
+            text_col: pa.array(kept, pa.binary()).cast(pa.string()),
+            "n_lines": pa.array(np.diff(lines.first), pa.int64()),
+            "n_dropped": pa.array(dropped, pa.int64()),
+        }
+
+    added = f"`{text_col}` string, n_lines long, n_dropped long"
+    found = add_columns(docs, text_col, probe, added, given=F.col(f"`{id_col}`").cast("long"))
+    columns = [f"`{c}`" for c in without(docs, "n_lines", "n_dropped")]
     return found.select(*columns, "n_lines", "n_dropped")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldtrace.llm.common import SPACE, table
+from fieldtrace.llm.common import SPACE, table, without
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -63,7 +63,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     word before. Columns of those names give way.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
+    others = [F.col(f"`{c}`") for c in without(docs, *COUNTS)]
     # Without white space at the start, only the end can give an empty part.
     parts = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     read = docs.select(
@@ -189,8 +189,7 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         up, down, none = (known[v][0] - known[v][1] for v in (1, -1, 0))
         odds = odds + F.when(vote > 0, up).when(vote < 0, down).otherwise(none)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    names = ("base_failed", "p_good", "kept")
-    columns = [F.col(f"`{c}`") for c in counted.columns if c not in names]
+    columns = [F.col(f"`{c}`") for c in without(counted, "base_failed", "p_good", "kept")]
     found = voted.select(*columns, failed.alias("base_failed"), (1 / (1 + F.exp(-odds))).alias("p_good"))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
 

@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldtrace.llm.common import table
+from fieldtrace.llm.common import table, without
 
 # Kinds in their order, their patterns, and how long a match must be (of `assign`, its value).
 KINDS = ("assign", "access", "hex")
@@ -33,6 +33,7 @@ MODEL_KIND = "markov"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
 SAMPLE_CHARS, TOKEN_CHARS = 12, 16
+BACKOFF = 500.0  # so that a few unlabelled secrets among the ordinary tokens do not vouch for themselves
 MARGIN = 14.0  # log-likelihood ratio: odds of about a million to one
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -123,15 +124,16 @@ def _samples(text: Column) -> Column:
 def ratios(docs: DataFrame, text_col: str = "text") -> list[float]:
     """Log-likelihood ratios of all pairs of characters, the first of 0 for the start of a token.
 
-    Entry (a, b) is at a * (letters + 1) + b. Counts are taken over all rows, one more for each pair.
-    Without samples of both classes all ratios are 0.
+    Entry (a, b) is at a * (letters + 1) + b. Counts are taken over all rows; where a first character
+    was seen little, the frequencies of the second count as BACKOFF pairs more. Without samples of
+    both classes all ratios are 0.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     sample = docs.select(F.explode(_samples(text)).alias("s")).select("s.random", "s.token")
     pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.concat(F.lit("^"), "token"), i, F.lit(2)))
     counts = sample.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
     n = len(ALPHABET)
-    seen = [[[1.0] * (n + 1) for _ in range(n + 1)] for _ in (0, 1)]
+    seen = [[[0.0] * (n + 1) for _ in range(n + 1)] for _ in (0, 1)]
     classes = set()
     # At most one row for each class and pair of the alphabet.
     for random, pair, count in counts.collect():
@@ -141,7 +143,13 @@ def ratios(docs: DataFrame, text_col: str = "text") -> list[float]:
             classes.add(random)
     if len(classes) < 2:
         return [0.0] * (n + 1) ** 2
-    log = [[[math.log(x / sum(row[1:])) for x in row] for row in rows] for rows in seen]
+    log = []
+    for rows in seen:
+        single = [1 + sum(row[b] for row in rows) for b in range(n + 1)]
+        share = [x / sum(single[1:]) for x in single]
+        log.append(
+            [[math.log((x + BACKOFF * p) / (sum(row) + BACKOFF)) for x, p in zip(row, share, strict=True)] for row in rows]
+        )
     return [log[1][a][b] - log[0][a][b] if b else 0.0 for a in range(n + 1) for b in range(n + 1)]
 
 
@@ -171,7 +179,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", margin: float = MARGIN
     named spans gives way. Repeated rows count each time in the models.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "spans"]
+    others = [F.col(f"`{c}`") for c in without(docs, "spans")]
     table_ = ratios(docs, text_col)
     base = F.concat(*[base_spans(text, kind) for kind in KINDS])
     pattern = f"{TOKEN}{{{TOKEN_CHARS},}}"

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldtrace.llm.common import blocks, filesystem, new_folder, ragged, table, written
 
 FRAME_BYTES = 1 << 18
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 CACHE_WORDS = 500_000  # spellings a Python worker remembers
 LONG_WORD = 64  # bytes; longer spellings are not remembered
 # Fixed values of the seekable format.
