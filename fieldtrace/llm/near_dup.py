@@ -135,7 +135,7 @@ def _lists(sketches: DataFrame, percent: int, k: int) -> DataFrame:
     listed = (F.size("values") - overlap + 1).cast("int")
     return (
         own.where(listed > 0)
-        .withColumn("values", F.slice("values", F.lit(1), listed))
+        .withColumn("values", F.slice("values", F.lit(1), F.greatest(listed, F.lit(0))))
         .select("id", "n", "score", F.explode("values.value").alias("value"))
     )
 
@@ -194,7 +194,7 @@ def _rest(lists: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) ->
     listed = (F.size("common") - overlap + 1).cast("int")
     able = written(
         own.where(listed > 0)
-        .withColumn("common", F.slice("common", F.lit(1), listed))
+        .withColumn("common", F.slice("common", F.lit(1), F.greatest(listed, F.lit(0))))
         .select("id", "n", "component", "score", F.explode("common.shingle").alias("shingle")),
         "open-lists",
     )
