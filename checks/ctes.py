@@ -25,6 +25,7 @@ _TOKEN = "|".join(
         r"\b\w+\.\w+\s*=\s*\w+\.\w+(?:\s*\(\s*\))?",
         rf"\b\w+\s*=\s*{_GET}",
         _STR,
+        r"[{}]",
     ]
 ).replace("'", "''")
 _COMMENT = rf"({_STR})|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
@@ -63,7 +64,7 @@ found as (
 raw as (select file_path, unnest(l) as token, generate_subscripts(l, 1) - 1 as pos from found),
 tok as (
   select file_path, pos::int as pos, token, {_attr("target")} as target,
-    case when token like '"%' then null
+    case when token like '"%' or token in ('{{', '}}') then null
          when token like '@Mapper%' then 'mapper'
          when token like '@Mapping%' then 'mapping'
          when regexp_matches(token, '^interface\s[^{{]*\{{$') then 'interface'
@@ -203,7 +204,7 @@ VALUE_SOURCE = rf"""case
     when path is not null then path
     when regexp_matches(value, '^[A-Z_][A-Z0-9_]*$') then 'constant:' || value
     when value = '' then 'unknown'
-    when length(value) < 50 and value not like 'new %' then value
+    when value not like 'new %' then value
     else 'constant' end"""
 
 NESTED = rf"""{VAR_TARGETS},
@@ -225,7 +226,7 @@ nest as (
     c.outer_field || case when is_item then '[].' else '.' end || k.field as target_field,
     k.target_var || '.' || c.outer_field || case when is_item then '[].' else '.' end || k.field
       as target_path,
-    case when length(k.value) < 100 then k.value else left(k.value, 100) || '...' end as value
+    k.value as value
   from ksets k join chk c on c.file_path = k.file_path and c.method_pos = k.method_pos
     and c.var = k.var
   where k.target_var is not null)"""

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import ctes as sq
 from checks.tables import (
+    JAVA_PATH,
+    SCOPE_ROWS,
+    SCOPE_TEXT,
     answer_lines,
     java_sources,
     label_questions,
@@ -322,14 +325,11 @@ def _(spark, sf):
 
 @check(
     "embed_ok",
-    "select doc_id from documents where regexp_matches(substr(text, 1, 40), '[\\p{L}\\p{N}_]') "
-    "and doc_id % 10 <> 3",
+    "select doc_id, lang from documents where regexp_matches(text, '[\\p{L}\\p{N}_]')",
 )
 def _(spark, sf):
-    heads = table(spark, sf, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 10 != 3, F.substring("text", 1, 40)).alias("head")
-    )
-    return embedding.embedded_only(hash_embed(heads, "head")).select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return embedding.embedded_only(hash_embed(docs, "text")).select("doc_id", "lang")
 
 
 @check(
@@ -481,9 +481,7 @@ def _stub_embed():
 
 @check(
     "embed_documents",
-    "select doc_id, case when text like '%e%' then (case when length(text) > 2000 then 2034 "
-    "else length(text) end)::float end as n from (select doc_id, case when length(text) > 2000 "
-    "then left(text, 2000) || 'e' else text end as t2, text from documents)",
+    "select doc_id, case when text like '%e%' then length(text)::float end as n from documents",
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -491,6 +489,43 @@ def _(spark, sf):
     return out.select("doc_id", F.get("embedding", F.lit(0)).alias("n"))
 
 
+def _faulty(one):
+    """A batch function that raises if any of its items is bad: those whose length is a multiple of 7."""
+
+    def call(items):
+        if any(len(_text(item)) % 7 == 0 for item in items):
+            raise RuntimeError("bad item")
+        return [one(_text(item)) for item in items]
+
+    return lambda: call
+
+
+def _text(item) -> str:
+    return item if isinstance(item, str) else item[0]
+
+
+@check(
+    "embed_faults",
+    "select doc_id, case when length(text) % 7 <> 0 then length(text)::float "
+    "when length(text) > 1000 and 1020 % 7 <> 0 then 1020::float end as n from documents",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = embedding.embed_with(docs, _faulty(lambda t: [float(len(t))]), "text", wait=0.0)
+    return out.select("doc_id", F.get("embedding", F.lit(0)).alias("n"))
+
+
+@check(
+    "generate_faults",
+    "select doc_id, case when length(text) % 7 <> 0 then length(text) || ' characters' end as answer, "
+    "case when length(text) % 7 = 0 then 'RuntimeError: bad item' end as error from documents",
+)
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("prompt"))
+    call = _faulty(lambda t: f"{len(t)} characters")
+    return generation.generate(docs, call, error_col="error", wait=0.0).drop("prompt")
+
+
 @check(
     "hash_embed",
     f"with {sq.sparse('documents', 'doc_id', 'text', 'w')} "
@@ -551,7 +586,7 @@ def _(spark, sf):
 
 @check(
     "extraction_prompt",
-    f"with {sq.SRC} select file_path, '{fixed.EXTRACT_HEAD}' || left(content, 8000) || "
+    f"with {sq.SRC} select file_path, '{fixed.EXTRACT_HEAD}' || content || "
     f"'{fixed.EXTRACT_TAIL}' as prompt from src",
 )
 def _(spark, sf):
@@ -1233,7 +1268,7 @@ def _(spark, sf):
 @check(
     "mapping_document",
     f"with {sq.MAPPING_RECORDS} select m.id, m.file_path, m.pos, m.document || chr(10) || chr(10) "
-    "|| 'Code:' || chr(10) || left(s.content, 500) as document from mrec m "
+    "|| 'Code:' || chr(10) || s.content as document from mrec m "
     "join src s on s.file_path = m.file_path",
 )
 def _(spark, sf):
@@ -1456,3 +1491,32 @@ def _(spark, sf):
     return questions.transformed(_mappings(spark, sf)).select(
         "file_path", "pos", "method", "source_field", "target_field", "expression"
     )
+
+
+# === nested scopes =============================================================================
+
+
+@check("scope_forms", SCOPE_ROWS)
+def _(spark, sf):
+    """Nested types, anonymous classes, lambdas, text blocks and deep calls; rows from the template."""
+    docs = table(spark, sf, "documents")
+    texts = docs.select(F.expr(JAVA_PATH).alias("file_path"), F.expr(SCOPE_TEXT).alias("content"))
+    return lineage.field_mappings(texts).select(
+        "file_path", "type", "interface", "method", "source_type", "target_type", "source_field",
+        "target_field", "implicit",
+    )
+
+
+@check(
+    "inline_source",
+    f"select doc_id, {JAVA_PATH} as file_path, length(text) as n_chars from documents "
+    "where doc_id = (select min(doc_id) from documents)",
+)
+def _(spark, sf):
+    """A text given as a string; the first document's, whole."""
+    docs = table(spark, sf, "documents")
+    row = docs.orderBy("doc_id").select("doc_id", F.expr(JAVA_PATH).alias("path"), "text").first()
+    source = files.inline_source(spark, row.text, row.path)
+    return source.select(
+        F.lit(row.doc_id).cast("bigint").alias("doc_id"), "file_path", F.length("content").cast("bigint").alias("n_chars")
+    )

@@ -4,19 +4,13 @@
 CHUNK_SIZE = 2000
 EMBED_MAX_CHARS = 2000
 EMBED_RETRY_MAX_CHARS = 1000
-SNIPPET_CHARS = 500
-MODEL_CODE_CHARS = 8000
-VALUE_CHARS = 100
-LITERAL_CHARS = 50
 
 EMBED_MARKER = "\n[... truncated for embedding ...]"
 EMBED_RETRY_MARKER = "\n[... truncated ...]"
 
-# Search and scan limits.
+# Search and scan defaults.
 MIN_RESULTS = 1
 DEFAULT_RESULTS = 5
-MAX_RESULTS = 20
-MAX_ROOTS = 10
 FILES_PER_BATCH = 1000
 CHECKPOINT_EVERY = 500
 

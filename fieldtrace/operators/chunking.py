@@ -15,7 +15,8 @@ def chunk_texts(
 
     An empty text has no chunk. The input columns but the text are kept.
     """
-    size = min(size, fixed.CHUNK_SIZE)
+    if size < 1:
+        raise ValueError("size must be positive")
     keep = [c for c in df.columns if c != text_col]
     total = F.ceil(F.length(text_col) / F.lit(size)).cast("int")
     # One pass over the text: a substring per chunk would walk to its start again every time.

@@ -16,14 +16,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of `new` whose id is not in `existing`.
+    """One row for each id of `new` that is not in `existing`.
 
     The stored ids among the new ones are looked up first. For a batch of some size the new ids are
     broadcast, so the stored table, which may be far larger, is read in place and never shuffled.
     """
     ids = small(hold(new.select(key)))
     known = hold(existing.select(key).join(ids, key, "left_semi").distinct())
-    return new.join(small(known), key, "left_anti")
+    return new.join(small(known), key, "left_anti").dropDuplicates([key])
 
 
 def unique_ids(df: DataFrame, key: str = "id", order: str = "pos", slice_rows: int = SLICE) -> DataFrame:

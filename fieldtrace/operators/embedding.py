@@ -67,26 +67,43 @@ def hash_embed(
 def with_retries(
     embed: EmbedBatch, texts: list[str], max_retries: int = 3, wait: float = 0.5
 ) -> list:
-    """Vectors of a batch in order. What failed is tried again, shorter after an error; null at last."""
+    """Vectors of a batch in order; null where a text is blank or no try gave a vector.
+
+    A text's vector never depends on its neighbours: after an error the batch is halved down to the
+    texts that cause it. Only such a text is tried again shortened, and texts without a vector are
+    tried again as they are.
+    """
     vectors: list = [None] * len(texts)
-    todo = {i: t for i, t in enumerate(texts) if t and t.strip()}
+    todo = [i for i, t in enumerate(texts) if t and t.strip()]
     for attempt in range(max_retries):
         if not todo:
             break
         if attempt:
             time.sleep(wait * attempt)
-        try:
-            got = embed(list(todo.values()))
-        except Exception:
-            todo = {i: _shorter(t) for i, t in todo.items()}
-            continue
-        for i, vector in zip(list(todo), got):
+        found = _halving(embed, [texts[i] for i in todo])
+        for i, vector in zip(todo, found):
             if vector is not None and len(vector):
                 vectors[i] = vector
-                del todo[i]
+        todo = [i for i in todo if vectors[i] is None]
     return vectors
 
 
+def _halving(embed: EmbedBatch, texts: list[str]) -> list:
+    try:
+        got = list(embed(texts))
+        if len(got) == len(texts):
+            return got
+    except Exception:
+        pass
+    if len(texts) > 1:
+        half = len(texts) // 2
+        return _halving(embed, texts[:half]) + _halving(embed, texts[half:])
+    try:
+        return list(embed([_shorter(texts[0])]))[:1] or [None]
+    except Exception:
+        return [None]
+
+
 def _shorter(text: str) -> str:
     n = fixed.EMBED_RETRY_MAX_CHARS
     return text[:n] + fixed.EMBED_RETRY_MARKER if len(text) > n else text
@@ -100,12 +117,13 @@ def embed_with(
     max_retries: int = 3,
     wait: float = 0.5,
     concurrency: int | None = None,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Vectors from a user's batch function, null where it failed or the text is blank.
 
     `make_embed` runs once per partition and returns the function `texts -> vectors`, so a client
-    is built once. `concurrency` caps the number of tasks that call the model at one time. Texts
-    over the input limit are cut as `text.embed_input` does; chunk longer texts first.
+    is built once. `concurrency` caps the number of tasks that call the model at one time. Whole texts
+    go to the model, or with `max_chars` texts cut there and marked.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -116,7 +134,8 @@ def embed_with(
 
     if concurrency:
         df = df.repartition(concurrency)
-    return df.withColumn(out, vectors.asNondeterministic()(tx.embed_input(text_col)))
+    text = F.col(text_col) if max_chars is None else tx.clip(text_col, max_chars, fixed.EMBED_MARKER)
+    return df.withColumn(out, vectors.asNondeterministic()(text))
 
 
 def embedded_only(df: DataFrame, column: str = "embedding") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtrace import fixed
 
@@ -24,24 +25,52 @@ def generate(
     system_col: str | None = None,
     out: str = "answer",
     concurrency: int | None = None,
+    error_col: str | None = None,
+    max_retries: int = 3,
+    wait: float = 0.5,
 ) -> DataFrame:
-    """Adds the answer to each prompt; null where the model gave none."""
+    """Adds the answer to each prompt; null where the model gave none.
 
-    @F.pandas_udf(T.StringType())
-    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    `error_col` names a further column for the text of the error that a prompt failed with. A prompt
+    that fails never takes others of its batch along: the batch is halved down to it, and it alone is
+    tried `max_retries` times.
+    """
+
+    @F.pandas_udf("answer string, error string")
+    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         call = make_generate()
         for prompt, system in batches:
-            pairs = [(p, s) for p, s in zip(prompt, system)]
-            try:
-                got = call(pairs)
-            except Exception:
-                got = [None] * len(pairs)
-            yield pd.Series(got, dtype=object)
+            got = each_alone(call, list(zip(prompt, system)), max_retries, wait)
+            yield pd.DataFrame(got, columns=["answer", "error"], dtype=object)
 
     system = F.col(system_col) if system_col else F.lit(None).cast("string")
     if concurrency:
         prompts = prompts.repartition(concurrency)
-    return prompts.withColumn(out, answers.asNondeterministic()(F.col(prompt_col), system))
+    found = prompts.withColumn("__found", answers.asNondeterministic()(F.col(prompt_col), system))
+    found = found.withColumn(out, F.col("__found.answer"))
+    if error_col:
+        found = found.withColumn(error_col, F.col("__found.error"))
+    return found.drop("__found")
+
+
+def each_alone(call, items: list, max_retries: int = 3, wait: float = 0.5) -> list[tuple]:
+    """(result, error) of every item of a batch call, with errors kept to the items that cause them."""
+    if not items:
+        return []
+    for attempt in range(max_retries if len(items) == 1 else 1):
+        if attempt:
+            time.sleep(wait * attempt)
+        try:
+            got = list(call(items))
+            if len(got) != len(items):
+                raise ValueError(f"{len(got)} results for {len(items)} items")
+            return [(result, None) for result in got]
+        except Exception as problem:
+            error = f"{type(problem).__name__}: {problem}"
+    if len(items) == 1:
+        return [(None, error)]
+    half = len(items) // 2
+    return each_alone(call, items[:half], max_retries, wait) + each_alone(call, items[half:], max_retries, wait)
 
 
 def describe_prompt(code, mapping: Column) -> Column:
@@ -55,12 +84,12 @@ def describe_prompt(code, mapping: Column) -> Column:
     )
 
 
-def extraction_prompt(code) -> Column:
-    """Prompt for extraction by the model, over the part of the code that fits its input."""
+def extraction_prompt(code, max_chars: int | None = None) -> Column:
+    """Prompt for extraction by the model over the whole code, or its first `max_chars` characters."""
     code = F.col(code) if isinstance(code, str) else code
     return F.concat(
         F.lit(fixed.EXTRACT_HEAD),
-        F.substring(code, 1, fixed.MODEL_CODE_CHARS),
+        code if max_chars is None else F.substring(code, 1, max_chars),
         F.lit(fixed.EXTRACT_TAIL),
     )
 

@@ -10,7 +10,6 @@ those are shuffled to the final ranking.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,18 +19,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from fieldtrace import fixed
 from fieldtrace.operators.embedding import embedded_only
+from fieldtrace.session import hold
 
 METRICS = ("cosine", "l2sq")
 DIGITS = 6
 SCAN_QUERY_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
 SLICE_ROWS = 16384
-MAX_BITS = 16
+MAX_BITS = 16  # cells are counted in a table that goes to all tasks
+DEFAULT_BITS = 4
 
 
 def check_k(k: int) -> int:
-    if not fixed.MIN_RESULTS <= k <= fixed.MAX_RESULTS:
-        raise ValueError(f"k must be between {fixed.MIN_RESULTS} and {fixed.MAX_RESULTS}")
+    if k < fixed.MIN_RESULTS:
+        raise ValueError(f"k must be at least {fixed.MIN_RESULTS}")
     return k
 
 
@@ -53,6 +54,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(set(pc.list_value_length(column).to_pylist())) > 1:
+        raise ValueError("vectors of different lengths")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
@@ -170,7 +173,8 @@ def nearest(
         raise ValueError(f"metric must be one of {METRICS}")
     check_k(k)
     table = _vectors(match_all(rows, where), id_col, vector_col, "id")
-    asked = _vectors(queries, query_id_col, query_vector_col, "query_id")
+    # Held, as they are counted before they are sent: a model behind them is asked once.
+    asked = hold(_vectors(queries, query_id_col, query_vector_col, "query_id"))
     n, dim = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if n and n * dim * 8 > scan_bytes:
         return grid_join(table, asked, k, metric)
@@ -187,13 +191,15 @@ def _scan(table: DataFrame, asked: DataFrame, k: int, metric: str, dim: int) ->
         best = _Nearest(*sent.value, k, metric)
         for batch in batches:
             if len(batch) and len(best.queries):
-                best.add(batch.column(0), _matrix(batch.column(1)))
+                rows = _matrix(batch.column(1))
+                if rows.shape[1] != dim:
+                    raise ValueError(f"vectors of length {rows.shape[1]}, queries of length {dim}")
+                best.add(batch.column(0), rows)
         result = best.result()
         if result is not None:
             yield from result.to_batches()
 
-    sized = table.where(F.size("embedding") == dim).select("id", "embedding")
-    return _ranked(sized.mapInArrow(scan, _hit_schema(asked, table)), k)
+    return _ranked(table.mapInArrow(scan, _hit_schema(asked, table)), k)
 
 
 def grid_join(
@@ -286,17 +292,13 @@ def with_cell(df: DataFrame, bits: int, vector_col: str = "embedding") -> DataFr
     return df.withColumn("cell", cell(vector_col) if bits else F.lit(0))
 
 
-def default_bits(n_rows: int) -> int:
-    return min(MAX_BITS, max(0, math.ceil(math.log2(max(1, n_rows / SLICE_ROWS)))))
-
-
 def nearest_approx(
     rows: DataFrame,
     queries: DataFrame,
     k: int = fixed.DEFAULT_RESULTS,
     where: dict | None = None,
     metric: str = "cosine",
-    bits: int | None = None,
+    bits: int = DEFAULT_BITS,
     id_col: str = "id",
     vector_col: str = "embedding",
     query_id_col: str = "query_id",
@@ -307,13 +309,11 @@ def nearest_approx(
 
     Exact distances inside the cells; a cell that holds much of the table is cut into slices, so it
     costs more tasks and not a larger one. Rows in farther cells are not seen, which is the
-    approximation: see `recall`.
+    approximation: see `recall`. `bits` alone says how fine the cells are, whatever the table holds.
     """
     check_k(k)
     table = _vectors(match_all(rows, where), id_col, vector_col, "id")
-    asked = _vectors(queries, query_id_col, query_vector_col, "query_id")
-    if bits is None:
-        bits = default_bits(table.count())
+    asked = hold(_vectors(queries, query_id_col, query_vector_col, "query_id"))
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be between 0 and {MAX_BITS}")
     flips = F.array(*[F.lit(m).cast("int") for m in [0] + [1 << b for b in range(bits)]])

@@ -136,9 +136,9 @@ def _if_fields(head: str, lines: Column) -> Column:
 
 
 def document(code: Column | None = None) -> Column:
-    """The text a mapping is stored under."""
+    """The text a mapping is stored under, with all of `code` behind it."""
     snippet = (
-        F.concat(F.lit("\nCode:\n"), F.substring(tx.filled(code), 1, fixed.SNIPPET_CHARS))
+        F.concat(F.lit("\nCode:\n"), tx.filled(code))
         if code is not None
         else F.lit(None).cast("string")
     )

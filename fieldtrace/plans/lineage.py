@@ -347,7 +347,7 @@ def _nested() -> Column:
             source_field=F.col("__source"),
             target_field=field,
             target_path=F.concat_ws(".", "target_var", field),
-            value=clipped_value(),
+            value=F.col("value"),
         )
 
     return F.transform(F.coalesce("places", F.array()), at)
@@ -361,7 +361,7 @@ def value_source(value="value", path="path", source_var="source_var") -> Column:
     getter = r"\.get\w+\s*\(\s*\)(?:\s*\.get\s*\([^()]*\))?"
     call = F.regexp_substr(value, F.concat(F.lit(r"(?U)\b"), var, F.lit(getter)))
     from_source = F.coalesce(source_path(call), F.lit("unknown"))
-    literal = (F.length(value) < fixed.LITERAL_CHARS) & ~value.startswith("new ")
+    literal = ~value.startswith("new ")
     return (
         F.when(reads, from_source)
         .when(path.isNotNull(), path)
@@ -372,13 +372,6 @@ def value_source(value="value", path="path", source_var="source_var") -> Column:
     )
 
 
-def clipped_value(value="value") -> Column:
-    value, n = F.col(value), fixed.VALUE_CHARS
-    return F.when(F.length(value) < n, value).otherwise(
-        F.concat(F.substring(value, 1, n), F.lit("..."))
-    )
-
-
 # --- rows --------------------------------------------------------------------------------------
 
 

@@ -20,8 +20,22 @@ COMMENT_OR_LITERAL = (
     rf"(?=[\"'/])(?:({LITERAL})|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)"
 )
 
-GENERIC = r"(?:<(?:[^<>(){};]++|<[^<>(){};]*+>)*+>)?+"
-ARGUMENTS = rf"\((?:[^()\"';]++|{STRING}|{CHARACTER}|\((?:[^()\"';]++|{STRING}|{CHARACTER}|\([^();]*+\))*+\))*+\)"
+# Regular expressions cannot count, so nesting is spelt out; no code that people write goes as deep.
+DEPTH = 24
+
+
+def _nested(opening: str, closing: str, plain: str, depth: int = DEPTH) -> str:
+    """Brackets with `plain` parts and further brackets inside."""
+    inner = f"{opening}(?:{plain})*+{closing}"
+    for _ in range(depth):
+        inner = f"{opening}(?:{plain}|{inner})*+{closing}"
+    return inner
+
+
+GENERIC = f"(?:{_nested('<', '>', '[^<>(){};]++', 6)})?+"
+ARGUMENTS = _nested(r"\(", r"\)", rf"[^()\"';]++|{LITERAL}")
+# Arguments of a call may hold whole blocks, as of a lambda or an anonymous class.
+CALL = _nested(r"\(", r"\)", rf"[^()\"']++|{LITERAL}")
 
 MAPPER = rf"@Mapper\b(?:\s*+{ARGUMENTS})?+"
 MAPPING = rf"@Mapping\s*+{ARGUMENTS}"
@@ -29,14 +43,14 @@ HEADER = r"@?\b(?:class|interface)\s++\w++[^{};\"@()]*+\{"
 GETTER_CALL = r"\.get\w++\s*+\(\s*+\)(?:\s*+\.get\s*+\([^()]*+\))?+"
 # What may follow the first word of a statement or a signature.
 SIGNATURE = rf"{GENERIC}(?:\s*+\[\])*+\s++\w++\s*+{ARGUMENTS}\s*+(?:throws\s[^;{{}}()]*+)?+[;{{]"
-SETTER = rf"\.set\w++\s*+{ARGUMENTS}"
+SETTER = rf"\.set\w++\s*+{CALL}"
 ADD = r"\.add\s*+\(\s*+\w++\s*+\)"
 INSTANCE = rf"{GETTER_CALL}\s++instanceof\s++\w++{GENERIC}\s++\w++"
 FIELD = r"\.\w++\s*+=\s*+\w++\.\w++(?:\s*+\(\s*+\))?+"
 LOCAL = rf"\s*+=\s*+\w++{GETTER_CALL}"
 
 STATEMENT = rf"\b\w++(?:{SETTER}|{ADD}|{INSTANCE}|{FIELD}|{LOCAL}|{SIGNATURE})"
-TOKEN = "|".join([MAPPER, MAPPING, HEADER, STATEMENT, LITERAL])
+TOKEN = "|".join([MAPPER, MAPPING, HEADER, STATEMENT, LITERAL, "[{}]"])
 UNICODE = "(?U)"
 
 # What follows the first word of a statement, as far as it tells the kind.
@@ -56,6 +70,8 @@ MODIFIERS = [
 
 HEADERS = ["class", "interface"]
 METHODS = ["declared", "body"]
+SCOPES = [*HEADERS, "body"]
+BRACES = ["open", "close"]
 
 
 def _part(c, pattern: str, group: int = 1) -> Column:
@@ -71,7 +87,7 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
     """`(file_path, pos, kind, token)`; `file_path` must be unique in `sources`.
 
     Kinds: mapper, mapping, class, interface, declared (method without body), body (method with
-    one), setter, add, field, local, instance.
+    one), setter, add, field, local, instance; open and close are braces of all other blocks.
     """
     found = F.regexp_extract_all(
         strip_comments(F.col(text_col)), F.lit(UNICODE + TOKEN), F.lit(0)
@@ -85,10 +101,14 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
         | (token.startswith("@") & ~token.startswith("@Mapp"))
         | token.rlike(rf"^(?:{words})\b|^[^(]*?\b(?:{words})\s*+\(")
     )
+    literal = token.startswith('"') | token.startswith("'")
+    opens = token.endswith("{") & ~literal
     header = token.endswith("{") & ~token.contains("(")
     call = F.regexp_extract(token, UNICODE + SHAPE, 1)
     kind = (
-        F.when(token.startswith("@Mapper"), "mapper")
+        F.when(token == "}", "close")
+        .when((token == "{") | (other & opens), "open")
+        .when(token.startswith("@Mapper"), "mapper")
         .when(token.startswith("@"), "mapping")
         .when(header & token.startswith("interface"), "interface")
         .when(header, "class")
@@ -101,7 +121,7 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
     )
     return (
         sources.select(F.col(path_col).alias("file_path"), F.posexplode(found).alias("pos", "token"))
-        .where(~other)
+        .where(~other | opens)
         .select("file_path", "pos", kind.alias("kind"), "token")
     )
 
@@ -148,15 +168,41 @@ def first_parameter_type(args="args") -> Column:
     return F.get(args, F.lit(0))["type"]
 
 
+def _nesting(toks: DataFrame) -> DataFrame:
+    """Adds `__scope`: in how many classes, interfaces and method bodies a token stands.
+
+    A closing brace ends what the last opening one on its level began, so levels of all braces come
+    first, and then those of the scopes among them. An opening token counts as inside its own block.
+    """
+    upto = (
+        Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    on_level = (
+        Window.partitionBy("file_path", "__level")
+        .orderBy("pos")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    kind = F.col("kind")
+    opens, closes, is_scope = kind.isin("open", *SCOPES), kind == "close", kind.isin(SCOPES)
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    return (
+        toks.withColumn("__level", F.sum(step).over(upto) + F.when(closes, 1).otherwise(0))
+        .withColumn("__ends", closes & F.last(F.when(opens, is_scope), ignorenulls=True).over(on_level))
+        .withColumn("__scope", F.sum(F.when(is_scope, 1).when(F.col("__ends"), -1).otherwise(0)).over(upto))
+        .where(~kind.isin(BRACES))
+        .drop("__level", "__ends")
+    )
+
+
 def scoped(toks: DataFrame) -> DataFrame:
     """Tokens with the declaration and the method they stand in or, for an annotation, before.
 
     Adds `decl`, `decl_pos`, `in_mapper`; of the method `method_pos`, `method_kind`, `return_type`,
     `method`, `params`, `args`; and for a method `annotated`: a mapping annotation with a target is
-    directly before it.
+    directly before it. Braces say where a scope ends: what follows a nested type or an anonymous class
+    belongs to the method or type around it again.
     """
     rows = Window.partitionBy("file_path").orderBy("pos")
-    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
     backwards = (
         Window.partitionBy("file_path")
@@ -168,22 +214,41 @@ def scoped(toks: DataFrame) -> DataFrame:
     marks = kind.isin("mapper", *HEADERS)
     aims = (kind == "mapping") & annotation_attribute("target").isNotNull()
 
-    marked = toks.withColumn(
-        "__marked", F.last(F.when(marks, kind), ignorenulls=True).over(before) == "mapper"
-    ).withColumn(
-        "annotated",
-        F.last(F.when(aims | is_method | is_header, kind), ignorenulls=True).over(before)
-        == "mapping",
-    )
-    header = F.when(
-        is_header,
-        F.struct(
-            _part("token", r"^\w++\s++(\w++)").alias("name"),
-            F.col("pos").alias("pos"),
-            F.coalesce("__marked", F.lit(False)).alias("mapper"),
-        ),
+    def on(level: str) -> Window:
+        by_level = Window.partitionBy("file_path", level).orderBy("pos")
+        return by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    marked = (
+        _nesting(toks)
+        .withColumn("__marked", F.last(F.when(marks, kind), ignorenulls=True).over(before) == "mapper")
+        .withColumn(
+            "annotated",
+            F.last(F.when(aims | is_method | is_header, kind), ignorenulls=True).over(before) == "mapping",
+        )
+        # A body stands on the level it opens; its type is on the level below.
+        .withColumn("__at", F.when(kind == "body", F.col("__scope") - 1).otherwise(F.col("__scope")))
+    )
+    header = F.struct(
+        _part("token", r"^\w++\s++(\w++)").alias("name"),
+        F.col("pos").alias("pos"),
+        F.coalesce("__marked", F.lit(False)).alias("mapper"),
+    )
+    typed = marked.withColumn(
+        "__type", F.last(F.when(is_header, header), ignorenulls=True).over(on("__at"))
+    )
+    scope = F.struct("pos", "kind", F.col("__type").alias("type"), *signature_parts())
+    placed = typed.withColumn(
+        "__opener", F.last(F.when(kind.isin(SCOPES), scope), ignorenulls=True).over(on("__scope"))
+    ).withColumn("__next", F.last(F.when(is_method | is_header, scope), ignorenulls=True).over(backwards))
+    near = F.when(kind == "mapping", F.col("__next")).when(kind == "declared", scope).otherwise(
+        F.col("__opener")
     )
-    in_decl = marked.withColumn("__decl", F.last(header, ignorenulls=True).over(upto)).select(
+    of_type = (kind != "mapping") | F.col("__near.type.pos").eqNullSafe(F.col("__type.pos"))
+    placed = placed.withColumn("__near", near).withColumn(
+        "__m", F.when(F.col("__near.kind").isin(METHODS) & of_type, F.col("__near"))
+    )
+    own = is_method | is_header | F.col("__m").isNull()
+    return placed.withColumn("__decl", F.when(own, F.col("__type")).otherwise(F.col("__m.type"))).select(
         "file_path",
         "pos",
         "kind",
@@ -192,31 +257,12 @@ def scoped(toks: DataFrame) -> DataFrame:
         F.col("__decl.pos").alias("decl_pos"),
         F.coalesce("__decl.mapper", F.lit(False)).alias("in_mapper"),
         F.when(is_method, F.coalesce("annotated", F.lit(False))).alias("annotated"),
-    )
-    method = F.struct("pos", "kind", "decl_pos", *signature_parts())
-    # A header ends the method before it, so it counts as a scope of its own.
-    scope = F.when(is_method | is_header, method)
-    near = F.when(kind == "mapping", F.col("__after")).otherwise(F.col("__inside"))
-    return (
-        in_decl.withColumn("__inside", F.last(scope, ignorenulls=True).over(upto))
-        .withColumn("__after", F.last(scope, ignorenulls=True).over(backwards))
-        .withColumn("__m", near)
-        .withColumn(
-            "__m",
-            F.when(
-                F.col("__m.kind").isin(METHODS) & F.col("__m.decl_pos").eqNullSafe(F.col("decl_pos")),
-                F.col("__m"),
-            ),
-        )
-        .select(
-            *in_decl.columns,
-            F.col("__m.pos").alias("method_pos"),
-            F.col("__m.kind").alias("method_kind"),
-            F.col("__m.return_type").alias("return_type"),
-            F.col("__m.method").alias("method"),
-            F.col("__m.params").alias("params"),
-            F.col("__m.args").alias("args"),
-        )
+        F.col("__m.pos").alias("method_pos"),
+        F.col("__m.kind").alias("method_kind"),
+        F.col("__m.return_type").alias("return_type"),
+        F.col("__m.method").alias("method"),
+        F.col("__m.params").alias("params"),
+        F.col("__m.args").alias("args"),
     )
 
 

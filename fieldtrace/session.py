@@ -24,6 +24,8 @@ def get_session(app_name: str = "fieldtrace", master: str | None = None, **conf)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # What `hold` wrote goes when nothing refers to it.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Bounds what a batch of long texts takes in a Python worker.
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     }

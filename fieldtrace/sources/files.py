@@ -52,10 +52,10 @@ def read_text(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def usable_roots(spark: SparkSession, roots: list[str]) -> list[tuple[int, str, bool]]:
-    """`(project_index, root, exists)` of the first ten roots; blank ones are left out."""
+    """`(project_index, root, exists)` of all roots; blank ones are left out."""
     out = []
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for index, root in enumerate(roots[: fixed.MAX_ROOTS], 1):
+    for index, root in enumerate(roots, 1):
         root = root.strip()
         if root:
             where = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -63,6 +63,11 @@ def usable_roots(spark: SparkSession, roots: list[str]) -> list[tuple[int, str,
     return out
 
 
+def _covers(outer: str, root: str, earlier: bool, recursive: bool) -> bool:
+    outer, root = outer.rstrip("/"), root.rstrip("/")
+    return (outer == root and earlier) or (recursive and root.startswith(outer + "/"))
+
+
 def scan_roots(
     spark: SparkSession,
     roots: list[str],
@@ -71,13 +76,17 @@ def scan_roots(
     exclude: list[str] | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Texts of all files under up to ten roots; missing roots give no rows."""
+    """Texts of all files under the roots, each file once; missing roots give no rows.
+
+    A root inside another one, or given again, adds nothing: its files are the outer one's.
+    """
+    found = [(index, root) for index, root, exists in usable_roots(spark, roots) if exists]
     parts = [
         read_text(scan_files(spark, root, recursive, extensions, exclude), strict)
         .withColumn("project_index", F.lit(index))
         .select("project_index", "file_path", "content", "error")
-        for index, root, exists in usable_roots(spark, roots)
-        if exists
+        for index, root in found
+        if not any(_covers(other, root, at < index, recursive) for at, other in found if at != index)
     ]
     if not parts:
         return spark.createDataFrame([], SOURCE_SCHEMA)

@@ -162,17 +162,21 @@ def listing(rows: DataFrame, limit: int | None = None, key: str = "id") -> DataF
 
 
 def mapping_records(
-    entry_rows: DataFrame, sources: DataFrame | None = None, extra: Column | None = None
+    entry_rows: DataFrame,
+    sources: DataFrame | None = None,
+    extra: Column | None = None,
+    code_chars: int | None = None,
 ) -> DataFrame:
     """Entries as records of the mapping table, with id, text and metadata.
 
-    `sources` gives the code whose start goes into the text. `extra` is a map of caller metadata;
+    `sources` gives the code that goes into the text, all of it or its first `code_chars` characters
+    (a file's code stands in each of its mappings). `extra` is a map of caller metadata;
     its values win over the default of the same name.
     """
     rows = en.with_id(entry_rows)
     if sources is not None:
         # Only the part that is shown goes through the join.
-        start = F.substring("content", 1, fixed.SNIPPET_CHARS)
+        start = F.col("content") if code_chars is None else F.substring("content", 1, code_chars)
         code = sources.select("file_path", start.alias("__code"))
         rows = rows.join(code, "file_path", "left")
     text = en.document(F.col("__code") if sources is not None else None)

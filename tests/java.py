@@ -1,59 +1,59 @@
 """Java texts with the mappings they hold, worked out by hand."""
 
-SHOP = """
-// A mapper interface and a class with hand-written methods
-package shop.orders;
+# A mapper with a type of its own between its methods, and a class whose methods hold an anonymous class, a
+# lambda and a text block.
+FLEET = '''
+package fleet;
 
-import org.mapstruct.Mapper;
+@Mapper
+interface TruckMapping {
+    Plate plate(Truck truck);
 
-@Mapper(componentModel = "spring")
-public interface ClientMapper {
+    final class Options { boolean strict() { return true; } }
 
-    @Mappings({
-        @Mapping(source = "givenName", target = "first"),
-        @Mapping(source = "mail", target = "contact"),
-        @Mapping(source = "home.road", target = "road"),
-        @Mapping(target = "key", ignore = true)
-    })
-    ClientView toView(Client client);
+    @Mapping(target = "axles", expression = "java(count(truck))")
+    @Mapping(target = "depot.name", source = "home")
+    Card card(Truck truck, @Context Options options);
 
-    @Mapping(source = "first", target = "givenName")
-    Client fromView(ClientView view);
+    default Card twice(Truck truck) { return card(truck, new Options()); }
 
-    // Same field names
-    LedgerView toLedgerView(Ledger ledger);
+    @Mappings({ @Mapping(target = "audit", ignore = true) })
+    Log log(Trip trip);
 }
 
-public class ItemMapper {
+abstract class TripTools {
+    enum Mode { DAY, NIGHT; Mode other() { return DAY; } }
 
-    public ItemView map(Item item) {
-        ItemView view = new ItemView();
-        view.setTitle(item.getTitle());
-        view.setCost(item.getCost());
-        return view;
+    void toSummary(Trip trip, Summary out) {
+        Sorter sorter = new Sorter() {
+            @Override public int compare(Stop a, Stop b) { if (a.same(b)) { return 0; } return 1; }
+        };
+        out.setDistance(trip.getDistance());
+        stops.forEach(s -> { sorter.add(s); });
+        out.setNote("""
+            } a note; with { braces (
+            """);
+        out.driver = trip.getDriver();
+        String road = trip.getRoad();
+        out.setRoute(road);
     }
 
-    public Item convert(ItemView view) {
-        Item item = new Item();
-        item.setTitle(view.getTitle());
-        item.setCost(view.getCost());
-        return item;
-    }
+    int toll(Trip trip) { return trip.getToll(); }
+
+    Leg transformLeg(Stop stop) { Leg leg = new Leg(); leg.setEnd(stop.getEnd()); return leg; }
 }
-"""
+'''
 
 # (type, method, source type, target type, source field, target field, ignore, implicit)
-SHOP_ROWS = [
-    ("mapstruct", "toView", "Client", "ClientView", "givenName", "first", False, False),
-    ("mapstruct", "toView", "Client", "ClientView", "mail", "contact", False, False),
-    ("mapstruct", "toView", "Client", "ClientView", "home.road", "road", False, False),
-    ("mapstruct", "toView", "Client", "ClientView", None, "key", True, False),
-    ("mapstruct", "fromView", "ClientView", "Client", "first", "givenName", False, False),
-    ("mapstruct", "toLedgerView", "Ledger", "LedgerView", None, None, False, True),
-    ("pojo", "map", "Item", "ItemView", "title", "title", False, False),
-    ("pojo", "map", "Item", "ItemView", "cost", "cost", False, False),
-    ("pojo", "convert", "ItemView", "Item", "title", "title", False, False),
-    ("pojo", "convert", "ItemView", "Item", "cost", "cost", False, False),
+FLEET_ROWS = [
+    ("mapstruct", "plate", "Truck", "Plate", None, None, False, True),
+    ("mapstruct", "card", "Truck", "Card", None, "axles", False, False),
+    ("mapstruct", "card", "Truck", "Card", "home", "depot.name", False, False),
+    ("mapstruct", "log", "Trip", "Log", None, "audit", True, False),
+    ("pojo", "toSummary", "Trip", "Summary", "distance", "distance", False, False),
+    ("pojo", "toSummary", "Trip", "Summary", "driver", "driver", False, False),
+    ("pojo", "toSummary", "Trip", "Summary", "road", "route", False, False),
+    ("pojo", "transformLeg", "Stop", "Leg", "end", "end", False, False),
 ]
 
 NESTED = """

@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 QUICK = [
     "chunk_or_whole", "path_exclude", "text_read", "knn_batch", "knn_lsh", "dup_suffix",
     "insert_if_absent", "json_or_fallback", "batch_progress", "concat_until_done", "field_mappings",
+    "scope_forms", "embed_faults", "generate_faults", "mapping_document", "embed_ok",
 ]
 
 

@@ -3,7 +3,7 @@
 import json
 
 from conftest import rows
-from java import NESTED, SHOP
+from java import NESTED, FLEET
 
 from fieldtrace import fixed
 from fieldtrace.operators import embedding, knn
@@ -22,9 +22,9 @@ def test_answers(spark, tmp_path):
 
     store = st.Store(spark, str(tmp_path / "store"))
     # The method of the second file is cut by a chunk border.
-    texts = [("a.java", SHOP), ("b.java", "/* " + "z " * 900 + "*/" + NESTED)]
+    texts = [("a.java", FLEET), ("b.java", "/* " + "z " * 900 + "*/" + NESTED)]
     ingest.ingest(store, spark.createDataFrame(texts, "file_path string, content string"), embed, with_mappings=True)
-    questions = [(1, "How is ClientView first mapped from Client givenName?"), (2, " ?"), (3, "silent order notes")]
+    questions = [(1, "How does the card of a truck get depot.name from home?"), (2, " ?"), (3, "silent order notes")]
     asked = spark.createDataFrame(questions, "query_id int, question string")
     out = {
         r["query_id"]: r
@@ -39,7 +39,7 @@ def test_answers(spark, tmp_path):
     sections = [text.index(s) for s in (fixed.CODE_SECTION, fixed.EXTRACTED_SECTION, fixed.STORED_SECTION)]
     assert sections == sorted(sections)
     assert "Chunk: 2/2\n\nFull Code:\n" in text
-    assert "  givenName -> first\n" in text and "  city -> place.city\n" in text
+    assert "  home -> depot.name\n" in text and "  city -> place.city\n" in text
     assert (out[2]["error"], out[2]["context"]) == (fixed.NO_EMBEDDING_ERROR, "")
     assert (out[3]["error"], out[3]["answer"]) == (fixed.NO_ANSWER_ERROR, "")
 

@@ -2,7 +2,7 @@
 
 import pytest
 from conftest import rows
-from java import NESTED, NESTED_ROWS, SHOP, SHOP_ROWS
+from java import FLEET, FLEET_ROWS, NESTED, NESTED_ROWS
 
 from fieldtrace.plans import entries as en, lineage, questions, tokens as tk
 from fieldtrace.sources.files import inline_source
@@ -22,23 +22,23 @@ def found(spark, text, *names):
 
 
 def test_sample(spark):
-    assert found(spark, SHOP, *FLAT) == sorted(SHOP_ROWS, key=repr)
+    assert found(spark, FLEET, *FLAT) == sorted(FLEET_ROWS, key=repr)
 
 
 def test_entries_and_report(spark):
-    source = inline_source(spark, SHOP, "a.java")
-    entries = en.entries(extract(spark, SHOP))
-    assert rows(en.summary(source, entries)) == [("a.java", None, 8, 6, 2)]
+    source = inline_source(spark, FLEET, "a.java")
+    entries = en.entries(extract(spark, FLEET))
+    assert rows(en.summary(source, entries)) == [("a.java", None, 5, 3, 2)]
     report = en.text_report(source, entries).first()["report"]
     assert report.startswith(
-        "File: a.java\nTotal Mappings: 8\n  - MapStruct: 6\n  - POJO: 2\n\n"
-        "Mapping 1: MAPSTRUCT\n  Source Type: Client\n  Target Type: ClientView\n"
-        "  Interface: ClientMapper\n  Method: toView\n  Field Mappings:\n    givenName -> first\n\n"
+        "File: a.java\nTotal Mappings: 5\n  - MapStruct: 3\n  - POJO: 2\n\n"
+        "Mapping 1: MAPSTRUCT\n  Source Type: Truck\n  Target Type: Plate\n"
+        "  Interface: TruckMapping\n  Method: plate\n  Implicit mapping (field names match)\n"
     )
-    assert "    N/A -> key\n      (IGNORED)\n" in report
-    assert "  Implicit mapping (field names match)\n" in report
-    grouped = rows(en.grouped(extract(spark, SHOP)), "method", "n_fields")
-    assert grouped == [("fromView", 1), ("toLedgerView", 0), ("toView", 4)]
+    assert "    N/A -> audit\n      (IGNORED)\n" in report
+    assert "    home -> depot.name\n" in report
+    grouped = rows(en.grouped(extract(spark, FLEET)), "method", "n_fields")
+    assert grouped == [("card", 2), ("log", 1), ("plate", 0)]
 
 
 def test_nested(spark):
@@ -151,27 +151,26 @@ def test_non_ascii_names(spark):
 
 
 def test_declarations(spark):
-    toks = tk.tokens(inline_source(spark, SHOP, "a.java"))
+    toks = tk.tokens(inline_source(spark, FLEET, "a.java"))
     got = rows(tk.declarations(toks), "kind", "name")
-    assert got == [("class", "ItemMapper"), ("interface", "ClientMapper")]
+    assert got == [("class", "Options"), ("class", "TripTools"), ("interface", "TruckMapping")]
 
 
 def test_one_shuffle(spark):
     """The extraction is one scan and one exchange, whatever is joined up inside."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = extract(spark, SHOP)._jdf.queryExecution().executedPlan().toString()
+        plan = extract(spark, FLEET)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_questions(spark):
-    mappings = extract(spark, SHOP)
-    source = inline_source(spark, SHOP, "a.java")
-    assert rows(questions.fields_between(mappings, "Item", "ItemView")) == [
-        ("cost", "cost"), ("title", "title"),
+    mappings = extract(spark, FLEET)
+    source = inline_source(spark, FLEET, "a.java")
+    assert rows(questions.fields_between(mappings, "Trip", "Summary")) == [
+        ("distance", "distance"), ("driver", "driver"), ("road", "route"),
     ]
-    assert questions.by_types(mappings, "Client", "ClientView").count() == 4
+    assert questions.by_types(mappings, "Truck", "Card").count() == 2
     assert rows(questions.field_usage(mappings, source, "ROAD")) == [("a.java", 1)]
-    assert questions.transformed(mappings).count() == 4

@@ -25,13 +25,17 @@ def test_chunks(spark):
     short = records.where("file_path = 'f2000.txt'").first()
     assert (short["chunk_index"], short["total_chunks"]) == (None, None)
     assert records.where("file_path = 'e.txt' and chunk_index = 0").first()["document"][-1] == "😀"
-    assert chunking.chunk_texts(df, size=9000).agg(F.max(F.length("document"))).first()[0] == 2000
+    longest = max(len(t) for _, t in texts)
+    assert chunking.chunk_texts(df, size=9000).agg(F.max(F.length("document"))).first()[0] == longest
 
 
 def test_embed_input(spark):
-    df = spark.createDataFrame([(n, "A" * n) for n in (43, 1000, 10000, 50000)], "n int, t string")
+    df = spark.createDataFrame([(n, "A" * n) for n in (999, 1000, 1001, 1999, 2000, 2001)], "n int, t string")
     lengths = rows(df.select("n", F.length(tx.embed_input("t")), F.length(tx.embed_retry_input("t"))))
-    assert lengths == [(1000, 1000, 1000), (10000, 2034, 1020), (43, 43, 43), (50000, 2034, 1020)]
+    assert lengths == [
+        (1000, 1000, 1000), (1001, 1001, 1020), (1999, 1999, 1020), (2000, 2000, 1020), (2001, 2034, 1020),
+        (999, 999, 999),
+    ]
 
 
 def test_globs(spark):
@@ -75,7 +79,19 @@ def test_embed_retries():
 
     out = embedding.with_retries(embed, ["ok", " ", None, "no", "ok" * 1000], wait=0)
     assert out == [[1.0], None, None, None, [1.0]]
-    assert calls == [[2, 2, 2000], [2, 2, 1020], [2]]
+    assert calls == [[2, 2, 2000], [2], [2, 2000], [2], [2000], [1020], [2], [2]]
+
+
+def test_a_vector_never_depends_on_its_neighbours():
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return [[float(len(t))] for t in texts]
+
+    good = ["x" * n for n in (1, 1500, 3000)]
+    alone = [embedding.with_retries(embed, [t], wait=0)[0] for t in good]
+    beside = embedding.with_retries(embed, [good[0], "bad", good[1], "bad" * 600, good[2]], wait=0)
+    assert [beside[0], beside[2], beside[4]] == alone and beside[1] is None and beside[3] is None
 
 
 def test_model_answers(spark):
@@ -96,7 +112,8 @@ def test_failing_generator(spark):
         return call
 
     df = spark.createDataFrame([("p",)], "prompt string")
-    assert generation.generate(df, make).first()["answer"] is None
+    found = generation.generate(df, make, error_col="error", wait=0.0).first()
+    assert (found["answer"], found["error"]) == (None, "RuntimeError: down")
 
 
 def test_unique_ids_with_hot_id(spark):
@@ -185,9 +202,27 @@ def test_approximate_recall(spark, vectors):
 def test_nearest_bounds(spark, vectors):
     table = spark.createDataFrame(vectors, "id string, embedding array<float>")
     asked = table.limit(0).withColumnRenamed("id", "query_id")
-    for k in (0, 21):
-        with pytest.raises(ValueError):
-            knn.nearest(table, asked, k)
+    with pytest.raises(ValueError):
+        knn.nearest(table, asked, 0)
+    odd = spark.createDataFrame([("odd", [1.0, 2.0])], "id string, embedding array<float>")
+    first = table.limit(1).withColumnRenamed("id", "query_id")
+    with pytest.raises(Exception, match="vectors of"):
+        knn.nearest(table.unionByName(odd), first, 3).collect()
     assert knn.nearest(table, asked, 5).count() == 0
     one = table.where("id = 'v001'").withColumnRenamed("id", "query_id")
     assert knn.nearest(table, one, 20, where={"id": "v002"}).count() == 1
+    assert knn.nearest(table, one, 30).count() == min(30, len(vectors))
+
+
+def test_a_model_is_asked_once_per_question(spark, vectors):
+    table = spark.createDataFrame(vectors, "id string, embedding array<float>")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def model(name):
+        calls.add(1)
+        return [float(len(name))] * len(vectors[0][1])
+
+    asked = spark.createDataFrame([(f"q{i}",) for i in range(7)], "query_id string")
+    knn.nearest(table, asked.withColumn("embedding", model.asNondeterministic()("query_id")), 3).collect()
+    assert calls.value == 7

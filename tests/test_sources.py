@@ -2,7 +2,7 @@
 
 import pytest
 from conftest import rows
-from java import SHOP
+from java import FLEET
 from pyspark.sql import functions as F
 
 from fieldtrace import fixed
@@ -63,7 +63,10 @@ def test_read(spark, tree):
 def test_roots(spark, tree):
     roots = [f" {tree}/a ", "", "/nowhere/at/all", f"{tree}/target"] + [tree] * 9
     used = files.usable_roots(spark, roots)
-    assert [u[0] for u in used] == [1, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert [u[0] for u in used] == [1, *range(3, 14)]
+    # Roots inside others, or given again, add nothing.
+    once = rows(files.scan_roots(spark, [tree]), "file_path")
+    assert rows(files.scan_roots(spark, roots), "file_path") == once and len(set(once)) == len(once)
     texts = files.scan_roots(spark, roots[:4])
     assert rows(files.root_report(spark, roots[:4], texts), "project_index", "found", "n_files") == [
         (1, True, 5), (3, False, 0), (4, True, 1),
@@ -85,11 +88,11 @@ def sources(spark, texts):
 
 
 def test_store_life(spark, store):
-    texts = sources(spark, {"a.java": SHOP, "b.java": "class B {}", "c.java": "  \n", "d.java": "x " * 2500})
+    texts = sources(spark, {"a.java": FLEET, "b.java": "class B {}", "c.java": "  \n", "d.java": "x " * 2500})
     assert ingest.ingest(store, texts, embed, with_mappings=True) == 1
-    assert rows(progress.store_stats(store.code(), store.mappings())) == [(3, 5, 8)]
+    assert rows(progress.store_stats(store.code(), store.mappings())) == [(3, 5, 5)]
     ingest.ingest(store, texts, embed, with_mappings=True)
-    assert rows(progress.store_stats(store.code(), store.mappings())) == [(3, 5, 8)]
+    assert rows(progress.store_stats(store.code(), store.mappings())) == [(3, 5, 5)]
     log = ingest.ingest_log(texts, store.code())
     assert rows(log, "file", "status") == [
         ("a.java", "stored"), ("b.java", "stored"), ("c.java", "skipped"), ("d.java", "stored"),
@@ -101,7 +104,7 @@ def test_store_life(spark, store):
     assert store.code().count() == 5
     store.delete_ids(st.CODE, store.code().where("file_path = 'b.java'"))
     assert store.code().where("file_path = 'b.java'").count() == 0
-    assert store.mappings().count() == 8
+    assert store.mappings().count() == 5
     # A changed file is left alone, or replaced.
     changed = sources(spark, {"d.java": "y"})
     ingest.ingest(store, changed, embed)
@@ -117,21 +120,21 @@ def test_store_life(spark, store):
 
 
 def test_mapping_records(spark, store):
-    source = files.inline_source(spark, SHOP, "a.java")
+    source = files.inline_source(spark, FLEET, "a.java")
     entries = en.entries(lineage.field_mappings(source))
     extra = F.create_map(F.lit("team"), F.lit("t1"), F.lit("method"), F.lit("other"))
     records = st.mapping_records(entries, source, extra)
     first = records.orderBy("pos").first()
     assert (first["method"], first["extra"]) == ("other", {"team": "t1"})
     assert first["document"].startswith(
-        "Mapping Type: mapstruct\nSource Type: Client\nTarget Type: ClientView\n"
-        "Interface: ClientMapper\nMethod: toView\nField Mappings:\n  givenName -> first\n\nCode:\n"
+        "Mapping Type: mapstruct\nSource Type: Truck\nTarget Type: Plate\n"
+        "Interface: TruckMapping\nMethod: plate\n\nCode:\n"
     )
-    assert first["document"].endswith(SHOP[:500])
+    assert first["document"].endswith(FLEET)
     again = st.batch_records(entries.unionByName(entries.withColumn("pos", F.col("pos") + 1000)))
     ids = [r["id"] for r in again.collect()]
-    assert len(set(ids)) == len(ids) == 16 and sum(i.endswith("_1") for i in ids) == 8
-    assert st.listing(records, 3).count() == 3 and st.listing(records).count() == 8
+    assert len(set(ids)) == len(ids) == 10 and sum(i.endswith("_1") for i in ids) == 5
+    assert st.listing(records, 3).count() == 3 and st.listing(records).count() == 5
 
 
 def test_reports(spark, tmp_path):
@@ -148,7 +151,7 @@ def test_reports(spark, tmp_path):
         ('{"files_processed":2,"files_stored":1,"summary":{"code_files_stored":1}}',)
     ]
     assert rows(reports.result_line(log), "line")[0] == ("File: a, Status: stored",)
-    source = files.inline_source(spark, SHOP, "a.java")
+    source = files.inline_source(spark, FLEET, "a.java")
     text = en.text_report(source, en.entries(lineage.field_mappings(source)))
     reports.write_text(text, str(tmp_path / "text"))
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "File: a.java"
