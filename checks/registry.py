@@ -20,7 +20,16 @@ from checks.tables import (
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 from fieldtrace.operators import chunking, dedup, embedding, generation, knn, progress
-from fieldtrace.plans import entries as en, ingest, lineage, questions, rag, tokens as tk
+from fieldtrace.plans import (
+    entries as en,
+    extraction,
+    ingest,
+    lineage,
+    questions,
+    rag,
+    search,
+    tokens as tk,
+)
 from fieldtrace.session import hold, new_path
 from fieldtrace.sources import files, reports, store as st
 from fieldtrace.streaming import answers, ingest as stream
@@ -836,6 +845,10 @@ def _bench_questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _bench_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _bench_questions(spark, sf).withColumnRenamed("question", "text")
+
+
 def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
     records = chunking.code_records(text_sources(spark, sf))
     return hash_embed(records.select("id", "document"), "document").select("id", "embedding")
@@ -847,8 +860,8 @@ def _text_vectors(spark: SparkSession, sf: str) -> DataFrame:
     f"{sq.sparse_nearest('cw', 'id', 'qw', 'query_id', 'hit', 5)} select {HIT} from hit",
 )
 def _(spark, sf):
-    asked = hash_embed(_bench_questions(spark, sf), "question")
-    return _hits(knn.nearest(_text_vectors(spark, sf), asked, 5))
+    records = hash_embed(chunking.code_records(text_sources(spark, sf)), "document")
+    return _hits(search.search(records, _bench_texts(spark, sf), hash_embed, 5))
 
 
 @check(
@@ -859,13 +872,16 @@ def _(spark, sf):
     "left(c.document, 200) as preview from hit h join crec c on c.id = h.id",
 )
 def _(spark, sf):
-    records = chunking.code_records(text_sources(spark, sf))
-    asked = hash_embed(_bench_questions(spark, sf), "question")
-    hits = knn.nearest(_text_vectors(spark, sf), asked, 10)
-    return hits.join(records, "id").select(
-        "query_id", "id", "rank", "file_path", "chunk_index",
-        tx.preview("document", 200).alias("preview"),
-    )
+    records = hash_embed(chunking.code_records(text_sources(spark, sf)), "document")
+    found = search.search(records, _bench_texts(spark, sf), hash_embed, 10)
+    return found.select("query_id", "id", "rank", "file_path", "chunk_index", "preview")
+
+
+@check("knn_recall")
+def _(spark, sf):
+    """Share of the exact neighbours that hashed cells find."""
+    rows, asked = _vectors(spark, sf), label_questions(spark, sf)
+    return knn.recall(knn.nearest_approx(rows, asked, 10, bits=LSH_BITS), knn.nearest(rows, asked, 10))
 
 
 @check(
@@ -960,7 +976,53 @@ def _(spark, sf):
     "(select * from summ order by file_path limit 5)",
 )
 def _(spark, sf):
-    return en.sample_diagnostic(java_sources(spark, sf), _entries(spark, sf))
+    return en.sample_diagnostic(
+        java_sources(spark, sf), lambda texts: en.entries(hold(lineage.field_mappings(texts)))
+    )
+
+
+@check(
+    "extraction_errors",
+    _SUMMARY_SQL + " select m.file_path, case when d.doc_id % 5 = 0 then 'invalid UTF-8' end as error, "
+    "case when d.doc_id % 5 = 0 then 0 else total_mappings end as total_mappings, "
+    "case when d.doc_id % 5 = 0 then 0 else mapstruct_mappings end as mapstruct_mappings, "
+    "case when d.doc_id % 5 = 0 then 0 else pojo_mappings end as pojo_mappings "
+    f"from summ m join (select doc_id, {JAVA_PATH} as file_path from documents) d "
+    "on d.file_path = m.file_path",
+)
+def _(spark, sf):
+    """Files that could not be read: an error row with zero counts each."""
+    bad = F.substring_index(F.substring_index("file_path", "/F", -1), ".", 1).cast("long") % 5 == 0
+    texts = java_sources(spark, sf).withColumn("error", F.when(bad, "invalid UTF-8"))
+    texts = hold(texts.withColumn("content", F.when(~bad, F.col("content"))))
+    return en.summary(texts, en.entries(hold(lineage.field_mappings(texts))))
+
+
+@check(
+    "extract_with_model",
+    _SUMMARY_SQL + f", asked as (select file_path, length('{fixed.EXTRACT_HEAD}') + length(content) "
+    f"+ length('{fixed.EXTRACT_TAIL}') as n from src) "
+    "select a.file_path, case when n % 3 = 0 then 1 else total_mappings end as total_mappings, "
+    "case when n % 3 = 0 then 1 else pojo_mappings end as pojo_mappings, "
+    "case when n % 3 = 1 then 'RuntimeError: bad item' end as error "
+    "from asked a join summ m on m.file_path = a.file_path",
+)
+def _(spark, sf):
+    """A model that answers one file in three, fails on one, and talks about the rest."""
+
+    def make():
+        def call(items):
+            if any(len(p) % 3 == 1 for p, _ in items):
+                raise RuntimeError("bad item")
+            return ['{"mapping_type": "pojo"}' if len(p) % 3 == 0 else "I cannot say" for p, _ in items]
+
+        return call
+
+    found = extraction.extract(java_sources(spark, sf), "model", make, wait=0.0)
+    return found.select(
+        "file_path", F.col("total_mappings").cast("long").alias("total_mappings"),
+        F.col("pojo_mappings").cast("long").alias("pojo_mappings"), "error",
+    )
 
 
 @check(
@@ -1424,10 +1486,35 @@ def _(spark, sf):
     return answers.concat_until_done(answers.decode_lines(answer_lines(spark, sf)), slice_rows=3)
 
 
+@check(
+    "answer_chunks",
+    "with p as (select doc_id as query_id, text, length(text) as n from documents), "
+    "pieces as (select query_id, unnest(range(0, n, 100)) as place, text from p where n % 7 <> 0) "
+    "select query_id, (place / 100)::bigint as seq, substr(text, place + 1, 100) as chunk, false as done, "
+    "null::varchar as error from pieces union all select query_id, "
+    "case when n % 7 = 0 then 0 else ceil(n / 100.0)::bigint end, null, true, "
+    "case when n % 7 = 0 then 'ValueError: no answer' end from p",
+)
+def _(spark, sf):
+    def make():
+        def stream(prompt, system):
+            if len(prompt) % 7 == 0:
+                raise ValueError("no answer")
+            for at in range(0, len(prompt), 100):
+                yield prompt[at : at + 100]
+
+        return stream
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"))
+    return answers.answer_chunks(docs, make)
+
+
 @check("answers_stream", f"select * from ({_UNTIL_DONE}) where complete")
 def _(spark, sf):
     inbox, out = new_path(spark, "inbox"), new_path(spark, "answers")
-    answer_lines(spark, sf).repartition(4, "question_id").write.parquet(inbox)
+    # In bands of the numbers, so that most answers span micro-batches.
+    for band in (F.col("seq") < 2, F.col("seq").between(2, 3), F.col("seq") > 3):
+        answer_lines(spark, sf).where(band).coalesce(1).write.mode("append").parquet(inbox)
     lines = (
         spark.readStream.schema("question_id bigint, seq bigint, line string")
         .option("maxFilesPerTrigger", 1)

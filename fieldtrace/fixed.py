@@ -11,6 +11,7 @@ EMBED_RETRY_MARKER = "\n[... truncated ...]"
 # Search and scan defaults.
 MIN_RESULTS = 1
 DEFAULT_RESULTS = 5
+PREVIEW_CHARS = 200
 FILES_PER_BATCH = 1000
 CHECKPOINT_EVERY = 500
 

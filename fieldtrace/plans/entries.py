@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 from fieldtrace.operators.dedup import union_all
+from fieldtrace.session import hold
 
 ENTRY_KEYS = ["file_path", "type", "interface", "method", "source_type", "target_type"]
 
@@ -220,11 +223,15 @@ def fields_per_mapping(entry_rows: DataFrame) -> DataFrame:
     )
 
 
-def sample_diagnostic(files: DataFrame, entry_rows: DataFrame, n: int = 5) -> DataFrame:
-    """Over the first `n` files by path: files, files with mappings, mappings."""
-    sample = files.select("file_path").orderBy("file_path").limit(n)
-    counts = summary(sample, entry_rows.join(F.broadcast(sample), "file_path", "left_semi"))
-    return counts.agg(
+def sample_diagnostic(
+    sources: DataFrame, extract: Callable[[DataFrame], DataFrame], n: int = 5
+) -> DataFrame:
+    """Over the first `n` files by path: files, files with mappings, mappings.
+
+    `extract(sources)` gives entries; only the sample goes through it.
+    """
+    sample = hold(sources.orderBy("file_path").limit(n))
+    return summary(sample, extract(sample)).agg(
         F.count("*").alias("n_files"),
         F.count_if(F.col("total_mappings") > 0).alias("files_with_mappings"),
         F.sum("total_mappings").alias("total_mappings"),

@@ -88,16 +88,20 @@ class Store:
     ) -> int:
         """Code records that are not stored yet, with their vectors; those without one are dropped.
 
-        Stored ids are dropped ahead of embedding. `mode="replace"` deletes the files of `records`
-        first, so changed files are read again. Returns the batch number.
+        Stored ids are dropped ahead of embedding. `mode="replace"` takes all records and then deletes
+        older rows of their files: a run that breaks off leaves files doubled, to be replaced again, and
+        never missing. Returns the batch number.
         """
         batch_id = self.next_batch() if batch_id is None else batch_id
         if mode == "replace":
+            records = records.dropDuplicates(["id"])
+            self.append(CODE, embedded_only(embed(records, "document")), batch_id)
             self.delete_files(CODE, records.select("file_path").distinct(), batch_id - 1)
-        elif mode != "skip":
+        elif mode == "skip":
+            new = dedup.insert_if_absent(records, self.live(CODE))
+            self.append(CODE, embedded_only(embed(new, "document")), batch_id)
+        else:
             raise ValueError("mode must be skip or replace")
-        new = dedup.insert_if_absent(records, self.live(CODE))
-        self.append(CODE, embedded_only(embed(new, "document")), batch_id)
         return batch_id
 
     def add_mappings(

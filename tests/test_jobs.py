@@ -3,11 +3,11 @@
 import json
 
 from conftest import rows
-from java import NESTED, FLEET
+from java import FLEET, NESTED
 
 from fieldtrace import fixed
 from fieldtrace.operators import embedding, knn
-from fieldtrace.plans import ingest, rag
+from fieldtrace.plans import extraction, ingest, rag, search
 from fieldtrace.sources import store as st
 from fieldtrace.streaming import answers, ingest as stream
 
@@ -134,3 +134,59 @@ def test_answer_stream_over_batches(spark, tmp_path):
         )
         query.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(1, "abplain {", 4, True), (3, "x", 1, True)]
+
+
+def test_search(spark):
+    texts = [("a", "b.java", "river and mountain"), ("b", "b.java", "paper window"), ("c", "c.java", "river bank")]
+    records = embed(spark.createDataFrame(texts, "id string, file_path string, document string"), "document")
+    asked = spark.createDataFrame([(1, "river"), (2, " ")], "query_id int, text string")
+    found = search.search(records, asked, embed, k=2, preview_chars=5).orderBy("rank").collect()
+    assert [(r.query_id, r.file_path, r.preview) for r in found] == [(1, "c.java", "river"), (1, "b.java", "river")]
+    only = search.search(records, asked, embed, where={"file_path": "b.java"}).collect()
+    assert sorted(r.id for r in only) == ["a", "b"]
+
+
+def test_extraction_modes(spark):
+    source = spark.createDataFrame([("a.java", FLEET), ("b.java", "class B {}")], "file_path string, content string")
+    by_rules = {r.file_path: r for r in extraction.extract(source).collect()}
+    assert (by_rules["a.java"].total_mappings, by_rules["b.java"].total_mappings) == (5, 0)
+
+    def make():
+        return lambda items: ['{"mapping_type": "pojo", "source_type": "X"}' if "class B" in p else "none" for p, _ in items]
+
+    by_model = {r.file_path: r for r in extraction.extract(source, "model", make).collect()}
+    assert by_model["a.java"].mappings == by_rules["a.java"].mappings
+    assert (by_model["b.java"].pojo_mappings, by_model["b.java"].mappings[0].source_type) == (1, "X")
+
+
+def test_answers_wait_for_earlier_chunks(spark, tmp_path):
+    """Chunks that come after `done`, micro-batches later, take their place in the order."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, 2, "c", True), (2, 0, "x", False)], [(1, 0, "a", False)], [(1, 1, "b", False), (2, 1, "y", True)]]
+    for batch in batches:
+        rows_ = spark.createDataFrame(batch, "question_id long, seq long, chunk string, done boolean")
+        rows_.coalesce(1).write.mode("append").parquet(inbox)
+    chunks = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    (
+        answers.answers_stream(chunks, timeout_seconds=None, first_seq=0)
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
+    assert rows(spark.read.parquet(out)) == [(1, "abc", 3, True), (2, "xy", 2, True)]
+
+
+def test_answer_chunks(spark):
+    def make():
+        def stream(prompt, system):
+            yield from prompt.split()
+            if "bad" in prompt:
+                raise RuntimeError("broke off")
+
+        return stream
+
+    prompts = spark.createDataFrame([(1, "a b"), (2, "bad"), (3, "")], "query_id int, prompt string")
+    got = rows(answers.answer_chunks(prompts, make))
+    assert got == [
+        (1, 0, "a", False, None), (1, 1, "b", False, None), (1, 2, None, True, None), (2, 0, "bad", False, None),
+        (2, 1, None, True, "RuntimeError: broke off"), (3, 0, None, True, None),
+    ]
