@@ -43,8 +43,9 @@ def count_buckets(texts: pa.Array, dim: int) -> pa.Array:
     at = owner * dim + hashed[words.indices.to_numpy()]
     table = np.bincount(at, minlength=n * dim).astype(np.float32)
     empty = np.bincount(owner, minlength=n) == 0
-    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim, mask=np.append(empty, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(table))
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+    # A null offset instead would give a null's entries to the vector before it.
+    return pa.ListArray.from_arrays(offsets, pa.array(table), mask=pa.array(empty))
 
 
 def hash_embed(

@@ -54,8 +54,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(set(pc.list_value_length(column).to_pylist())) > 1:
-        raise ValueError("vectors of different lengths")
+    lengths = set(pc.list_value_length(column).to_pylist())
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(map(str, lengths))[:5]}")
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 

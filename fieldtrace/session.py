@@ -69,14 +69,20 @@ def hold(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(held: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A held table of short rows, marked for broadcast if a count shows that it is small.
+def small(
+    held: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """A held table, marked for broadcast if its rows and then their bytes (as JSON) are few.
 
     Beyond that the join is left to Spark, which shuffles both sides.
     """
-    return F.broadcast(held) if held.count() <= max_rows else held
+    if held.count() > max_rows:
+        return held
+    size = held.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(held) if size <= max_bytes else held
 
 
 def ship(spark: SparkSession, *folders: str) -> None:

@@ -82,6 +82,13 @@ def test_embed_retries():
     assert calls == [[2, 2, 2000], [2], [2, 2000], [2], [2000], [1020], [2], [2]]
 
 
+def test_texts_without_words_leave_other_vectors_alone():
+    import pyarrow as pa
+
+    found = embedding.count_buckets(pa.array(["a b", "", "c", None, " . ", "d"]), 8)
+    assert [v and len(v) for v in found.to_pylist()] == [8, None, 8, None, None, 8]
+
+
 def test_a_vector_never_depends_on_its_neighbours():
     def embed(texts):
         if any("bad" in t for t in texts):
