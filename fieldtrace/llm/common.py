@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -39,7 +40,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
     """
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.array([len(x) if x is not None else 0 for x in _bytes(column)], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
         start, filled = 0, 0
         for at, size in enumerate(sizes):
             if at > start and filled + size > limit:
@@ -50,11 +51,6 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
             yield _block(batch, column, start, len(sizes))
 
 
-def _bytes(column: pa.Array) -> Iterator[bytes | None]:
-    for value in column:
-        yield value.as_buffer() if value.is_valid else None
-
-
 def _block(batch: pa.RecordBatch, column: pa.Array, start: int, end: int) -> Block:
     rows = pa.Table.from_batches([batch.slice(start, end - start)])
     texts = column.slice(start, end - start).cast(pa.binary()).to_pylist()
@@ -126,9 +122,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared work folder."""
+def _passing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared work folder, which goes when the session's JVM ends."""
     path = new_path(spark, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared work folder, kept until the session's JVM ends."""
+    path = _passing(spark, name)
     system, inner = filesystem(path)
     system.create_dir(inner, recursive=True)
     return path
@@ -136,6 +140,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared work folder, read back: computed once, lineage cut."""
-    path = new_path(df.sparkSession, name)
+    path = _passing(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

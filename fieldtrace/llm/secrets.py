@@ -22,12 +22,12 @@ PATTERNS = {
     "hex": r"[0-9a-f]+",
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-# A pattern that finds something wherever the kind has a match that is long enough.
-SIGNS = {
-    "assign": PATTERNS["assign"],
-    "access": r"AKIA[A-Z0-9]{16}",
-    "hex": r"[0-9a-f]{24}",
+# Runs of characters are found by their length as well: a run is matched from its start or not at all.
+RUNS = {kind: PATTERNS[kind] for kind in KINDS} | {
+    "hex": f"(?<![0-9a-f])[0-9a-f]{{{LEAST['hex']},}}"
 }
+TEXT = "\0text"
+KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 MODEL_KIND = "markov"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -39,6 +39,31 @@ MARGIN = 14.0  # log-likelihood ratio: odds of about a million to one
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
+def _run(least: int) -> str:
+    return f"(?<!{TOKEN}){TOKEN}{{{least},}}"
+
+
+def _may_have(text: Column, kind: str) -> Column:
+    """A quick test that every text with a match of the kind passes, and few others."""
+    if kind == "assign":
+        low = F.lower(text)
+        found = low.contains(KEYWORDS[0])
+        for word in KEYWORDS[1:]:
+            found = found | low.contains(word)
+        return found
+    return text.contains("AKIA") if kind == "access" else text.rlike(RUNS["hex"])
+
+
+def _flagged(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with the text (null as empty) and the quick tests as columns, worked out once."""
+    named = docs.withColumn(TEXT, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return named.select("*", *[_may_have(F.col(TEXT), kind).alias(_flag(kind)) for kind in KINDS])
+
+
+def _flag(kind: str) -> str:
+    return f"\0may_{kind}"
+
+
 # === spans =====================================================================================
 
 
@@ -86,37 +111,39 @@ def _where(condition: Column, spans: Column) -> Column:
     return F.when(condition, spans).otherwise(F.array().cast(SPAN))
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Leftmost matches of a kind that do not overlap; those too short are dropped afterwards."""
-    pattern, least = PATTERNS[kind], LEAST[kind]
-    # Runs of hexadecimal digits are found whole by their length as well, and texts have few long ones.
-    pattern = pattern[:-1] + f"{{{least},}}" if kind == "hex" else pattern
+def base_spans(kind: str) -> Column:
+    """Leftmost matches of a kind in a flagged row that do not overlap; those too short are dropped."""
+    text = F.col(TEXT)
+    pattern, least = RUNS[kind], LEAST[kind]
     measure = F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if kind == "assign" else 0))
     spans = _spans(text, pattern, kind, KINDS.index(kind), measure, least)
-    return _where(text.rlike(SIGNS[kind]), spans)
+    return _where(F.col(_flag(kind)), spans)
 
 
 # === models ====================================================================================
 
 
-def _without_base(text: Column) -> Column:
+def _without_base() -> Column:
+    rest = F.col(TEXT)
     for kind in KINDS:
-        pattern = PATTERNS[kind] if kind != "hex" else f"[0-9a-f]{{{LEAST['hex']},}}"
-        text = F.when(text.rlike(SIGNS[kind]), F.regexp_replace(text, pattern, " ")).otherwise(text)
-    return text
+        rest = F.when(F.col(_flag(kind)), F.regexp_replace(rest, RUNS[kind], " ")).otherwise(rest)
+    return rest
 
 
-def _samples(text: Column) -> Column:
-    """Tokens of a text with their class: 1 random, 0 ordinary."""
+def _samples() -> Column:
+    """Tokens of a flagged row with their class: 1 random, 0 ordinary."""
+    text = F.col(TEXT)
     values = [
-        F.when(text.rlike(SIGNS["assign"]), F.regexp_extract_all(text, F.lit(PATTERNS["assign"]), F.lit(2))),
-        F.when(text.rlike(SIGNS["access"]), F.regexp_extract_all(text, F.lit(PATTERNS["access"]), F.lit(0))),
-        F.when(text.rlike(SIGNS["hex"]), F.regexp_extract_all(text, F.lit("[0-9a-f]{24,}"), F.lit(0))),
+        F.when(
+            F.col(_flag(kind)),
+            F.regexp_extract_all(text, F.lit(RUNS[kind]), F.lit(2 if kind == "assign" else 0)),
+        )
+        for kind in KINDS
     ]
     none = F.array().cast("array<string>")
     random = F.concat(*[F.coalesce(v, none) for v in values])
     random = F.filter(random, lambda v: F.length(v) >= SAMPLE_CHARS)
-    ordinary = F.regexp_extract_all(_without_base(text), F.lit(f"{TOKEN}{{{SAMPLE_CHARS},}}"), F.lit(0))
+    ordinary = F.regexp_extract_all(_without_base(), F.lit(_run(SAMPLE_CHARS)), F.lit(0))
     label = lambda to: lambda v: F.struct(F.lit(to).alias("random"), v.alias("token"))
     return F.concat(F.transform(random, label(1)), F.transform(ordinary, label(0)))
 
@@ -128,8 +155,10 @@ def ratios(docs: DataFrame, text_col: str = "text") -> list[float]:
     was seen little, the frequencies of the second count as BACKOFF pairs more. Without samples of
     both classes all ratios are 0.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    sample = docs.select(F.explode(_samples(text)).alias("s")).select("s.random", "s.token")
+    flagged = _flagged(docs.select(F.col(f"`{text_col}`").alias("text")), "text")
+    # An inner explode would be guarded by a filter that works out the array once more.
+    sample = flagged.select(F.explode_outer(_samples()).alias("s")).select("s.random", "s.token")
+    sample = sample.where(F.col("random").isNotNull())
     pairs = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.concat(F.lit("^"), "token"), i, F.lit(2)))
     counts = sample.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count()
     n = len(ALPHABET)
@@ -178,18 +207,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", margin: float = MARGIN
     kind `markov` are whole tokens of at least TOKEN_CHARS characters that touch no other span. A column
     named spans gives way. Repeated rows count each time in the models.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.col(TEXT)
     others = [F.col(f"`{c}`") for c in without(docs, "spans")]
     table_ = ratios(docs, text_col)
-    base = F.concat(*[base_spans(text, kind) for kind in KINDS])
-    pattern = f"{TOKEN}{{{TOKEN_CHARS},}}"
+    base = F.concat(*[base_spans(kind) for kind in KINDS])
+    pattern = _run(TOKEN_CHARS)
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     rows = F.zip_with(
         _starts(F.split(text, pattern, -1), tokens),
         tokens,
         lambda s, t: F.struct(s.alias("start"), (s + F.length(t)).alias("end"), t.alias("token")),
     )
-    found = docs.select(*others, F.array_sort(base).alias("\0base"), rows.alias("\0tokens"))
+    none = F.array().cast("array<struct<start:int,end:int,token:string>>")
+    rows = F.when(text.rlike(pattern), rows).otherwise(none)
+    found = _flagged(docs, text_col).select(*others, F.array_sort(base).alias("\0base"), rows.alias("\0tokens"))
 
     def free(x: Column) -> Column:
         return ~F.exists("\0base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
