@@ -26,6 +26,7 @@ DIGITS = 6
 SCAN_QUERY_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
 SLICE_ROWS = 16384
+MERGE_TASKS = 64
 MAX_BITS = 16  # cells are counted in a table that goes to all tasks
 DEFAULT_BITS = 4
 
@@ -140,8 +141,18 @@ def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    return hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    """The final `k` of each query, in two steps: those of some tasks together, then of all.
+
+    So the last step takes `k` rows for every MERGE_TASKS tasks and not for every task.
+    """
+
+    def cut(rows: DataFrame, *keys: str) -> DataFrame:
+        nearest = Window.partitionBy(*keys).orderBy("distance", "id")
+        return rows.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+
+    tasks = (F.spark_partition_id() / MERGE_TASKS).cast("int")
+    first = cut(hits.withColumn("__tasks", tasks), "query_id", "__tasks")
+    return cut(first.drop("__tasks", "rank"), "query_id")
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str, name: str) -> DataFrame:
