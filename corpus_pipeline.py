@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrace.llm import line_dedup, mixing, near_dup, quality_net, sentencepiece_viterbi
-from fieldtrace.llm.common import table, written
+from fieldtrace.llm.common import small_batches, table, written
 from fieldtrace.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,21 +16,25 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
+    small_batches(spark)
     net = quality_net.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    # As one column, so that none of theirs gives way to the score.
-    kept = quality_net.classify(rows, net).where(F.col("score") >= quality_net.KEEP)
-    return kept.select("row.*")
+    score = "score"
+    while score in [c.lower() for c in docs.columns]:
+        score += "_"
+    kept = quality_net.classify(docs, net, score_col=score).where(F.col(score) >= quality_net.KEEP)
+    return kept.drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents share; n_chars follows the text."""
+    small_batches(spark)
     found = line_dedup.drop_lines(docs).select(*docs.columns)
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    small_batches(spark)
     groups = near_dup.near_duplicates(docs)
     lost = groups.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
@@ -43,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
+    small_batches(spark)
     return sentencepiece_viterbi.encode(docs)
 
 

@@ -72,15 +72,24 @@ def add_columns(
     """
     fields = T.StructType.fromDDL(added).fields
     others = without(docs, *[f.name for f in fields])
+    # Texts go to Python once: in the struct, or beside it if their column gives way.
+    inside = [i for i, c in enumerate(others) if c.lower() == text_col.lower()]
+    beside = F.lit(None).cast("string") if inside else F.col(f"`{text_col}`")
     packed = docs.select(
         packed_columns(others),
-        F.col(f"`{text_col}`").alias("text"),
+        beside.alias("text"),
         (F.lit(None).cast("int") if given is None else given).alias("given"),
     )
     schema, more = T.StructType([packed.schema["rest"], *fields]), given is not None
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.column(0)
+            text = rest.field(1 + inside[0]) if inside else batch.column(1)
+            yield pa.RecordBatch.from_arrays([rest, text, batch.column(2)], ["rest", "text", "given"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, "text", limit):
+        for rows, texts in blocks(named(batches), "text", limit):
             found = make(texts, rows["given"]) if more else make(texts)
             yield from pa.table({"rest": rows["rest"], **found}).to_batches()
 
@@ -97,6 +106,14 @@ def unpacked(names: list[str]) -> list[Column]:
     return [F.col(f"rest.c{i}").alias(c) for i, c in enumerate(names)]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most so many rows to Python at once in this session: texts are long, and a batch is held
+    on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def without(docs: DataFrame, *names: str) -> list[str]:
     """The columns of `docs` but those; as in Spark, case makes no difference."""
     gone = {name.lower() for name in names}

@@ -200,14 +200,16 @@ def train(
     return learn([r.text.encode() for r in sample], np.array([r.label for r in sample], dtype=np.float32))
 
 
-def classify(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """`docs` with score: the probability of quality 1, from nothing but the whole text.
 
-    Null and empty texts are scored as an empty text. A column named score gives way.
+    Null and empty texts are scored as an empty text. A column named as the score gives way.
     """
-    return add_columns(
-        docs, text_col, lambda texts: {"score": pa.array(net.scores(texts), pa.float64())}, "score double"
-    )
+
+    def make(texts: list[bytes]) -> dict[str, pa.Array]:
+        return {score_col: pa.array(net.scores(texts), pa.float64())}
+
+    return add_columns(docs, text_col, make, f"`{score_col}` double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
