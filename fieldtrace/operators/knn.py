@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact scan, exact grid join, and hashed cells for large tables.
+"""Nearest neighbours: exact scan, exact grid join, and hashed cells, exact or not, for large tables.
 
 All forms return `(query_id, id, distance, rank)`, nearest first, ties by id. Distances are rounded
 to six digits before ranking: vectors are floats, and copies of one vector must tie on every
@@ -29,6 +29,7 @@ SLICE_ROWS = 16384
 MERGE_TASKS = 64
 MAX_BITS = 16  # cells are counted in a table that goes to all tasks
 DEFAULT_BITS = 4
+FAR_CELLS = 256  # a query that needs more cells meets the whole table instead
 
 
 def check_k(k: int) -> int:
@@ -322,6 +323,7 @@ def nearest_approx(
     Exact distances inside the cells; a cell that holds much of the table is cut into slices, so it
     costs more tasks and not a larger one. Rows in farther cells are not seen, which is the
     approximation: see `recall`. `bits` alone says how fine the cells are, whatever the table holds.
+    Where no neighbour may be lost, use `nearest_cells`.
     """
     check_k(k)
     table = _vectors(match_all(rows, where), id_col, vector_col, "id")
@@ -335,6 +337,139 @@ def nearest_approx(
     return _cells_join(with_cell(table, bits), probes, k, metric, slice_rows)
 
 
+def _unit_planes(bits: int, dim: int) -> np.ndarray:
+    return _sign_rows(bits, dim) / np.sqrt(dim)
+
+
+def _cell_numbers(matrix: np.ndarray, bits: int) -> np.ndarray:
+    side = matrix @ _unit_planes(bits, matrix.shape[1]).T > 0
+    return (side @ (1 << np.arange(bits))).astype(np.int32)
+
+
+def _row_cells(bits: int, metric: str):
+    """The cell of a row. With cosine, zero vectors are as far from all queries: a cell of their own."""
+
+    @F.arrow_udf(T.IntegerType())
+    def cell(vectors: pa.Array) -> pa.Array:
+        matrix = _matrix(vectors)
+        if metric == "l2sq":
+            return pa.array(_cell_numbers(matrix, bits))
+        unit = _unit(matrix)
+        return pa.array(np.where(unit.any(axis=1), _cell_numbers(unit, bits), 1 << bits).astype(np.int32))
+
+    return cell
+
+
+def _first_cells(bits: int, metric: str):
+    """The cell of a query and those one bit away."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def cells(vectors: pa.Array) -> pa.Array:
+        matrix = _matrix(vectors)
+        own = _cell_numbers(_unit(matrix) if metric == "cosine" else matrix, bits)
+        flips = np.array([0] + [1 << b for b in range(bits)], dtype=np.int32)
+        return pa.array(list(own[:, None] ^ flips), pa.list_(pa.int32()))
+
+    return cells
+
+
+def _far_cells(bits: int, metric: str, held: np.ndarray, most: int):
+    """The other cells that may hold a row as near as `kth`; null if they are more than `most`.
+
+    A row on the other side of a plane is at least as far as the plane. Over several planes the squares
+    add up, divided by the largest eigenvalue of the planes' products (1 if they are orthogonal).
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def cells(vectors: pa.Array, kth: pa.Array) -> pa.Array:
+        matrix = _matrix(vectors)
+        if metric == "cosine":
+            matrix = _unit(matrix)
+        planes = _unit_planes(bits, matrix.shape[1])
+        wide = max([1.0, *np.linalg.eigvalsh(planes @ planes.T)])
+        apart = (matrix @ planes.T) ** 2 / wide
+        own, size = _cell_numbers(matrix, bits), (matrix * matrix).sum(1)
+        limit = pc.fill_null(kth, np.inf).to_numpy(zero_copy_only=False)
+        found: list[np.ndarray | None] = []
+        step = max(1, BLOCK_CELLS // max(1, len(held)))
+        for start in range(0, len(matrix), step):
+            at = slice(start, start + step)
+            other = own[at, None] ^ held[None, :]
+            least, n_other = np.zeros(other.shape), np.zeros(other.shape, dtype=np.int8)
+            for b in range(bits):
+                crossed = (other >> b) & 1
+                least += crossed * apart[at, b, None]
+                n_other += crossed.astype(np.int8)
+            if metric == "cosine":
+                least /= 2  # of unit vectors, the cosine distance is half the squared one
+                zero = held == 1 << bits
+                least[:, zero], n_other[:, zero] = 1.0, 2
+            # Distances are rounded, and have the rounding errors of sums.
+            surely = least * (1 - 1e-9) - 1e-9 * size[at, None] - 2 * 10.0**-DIGITS
+            wanted = ~(surely > limit[at, None]) & (n_other > 1)
+            found += [held[row] if row.sum() <= most else None for row in wanted]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return cells
+
+
+def nearest_cells(
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int = fixed.DEFAULT_RESULTS,
+    where: dict | None = None,
+    metric: str = "cosine",
+    bits: int = DEFAULT_BITS,
+    id_col: str = "id",
+    vector_col: str = "embedding",
+    query_id_col: str = "query_id",
+    query_vector_col: str = "embedding",
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """Exact `k` nearest rows, by hash cells.
+
+    The query's cell and those one bit away give a first k-th distance. Then come all cells that are not
+    provably farther; a query that needs more cells than the table has slices, or than FAR_CELLS, meets
+    the whole table by `nearest`.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    check_k(k)
+    if not 0 <= bits <= MAX_BITS:
+        raise ValueError(f"bits must be between 0 and {MAX_BITS}")
+    table = _vectors(match_all(rows, where), id_col, vector_col, "id")
+    asked = hold(_vectors(queries, query_id_col, query_vector_col, "query_id"))
+    celled = table.withColumn("cell", _row_cells(bits, metric)("embedding"))
+    counts = celled.groupBy("cell").count().collect()  # at most 2^16 + 1 rows
+    held = np.array(sorted(r["cell"] for r in counts), dtype=np.int32)
+    most = min(FAR_CELLS, -(-sum(r["count"] for r in counts) // slice_rows))
+
+    probes = asked.withColumn("cell", F.explode(_first_cells(bits, metric)("embedding")))
+    first = hold(_cells_join(celled, probes, k, metric, slice_rows).drop("rank"))
+    kth = first.groupBy(F.col("query_id").alias("__id")).agg(
+        F.when(F.count("*") >= k, F.max("distance")).alias("kth")
+    )
+    # Rows that share a query id are ranked together, so they go the same way.
+    whole = F.max(F.col("far").isNull()).over(Window.partitionBy("query_id"))
+    placed = hold(
+        asked.join(kth, F.col("query_id").eqNullSafe(F.col("__id")), "left")
+        .withColumn("far", _far_cells(bits, metric, held, most)("embedding", "kth"))
+        .withColumn("whole", whole)
+        .select("query_id", "embedding", "far", "whole")
+    )
+    in_cells = placed.where(~F.col("whole")).select(
+        "query_id", "embedding", F.explode("far").alias("cell")
+    )
+    on_all = placed.where("whole").select("query_id", "embedding")
+    again = on_all.select(F.col("query_id").alias("__id")).distinct()
+    hits = (
+        first.join(again, F.col("query_id").eqNullSafe(F.col("__id")), "left_anti")
+        .unionByName(_cells_join(celled, in_cells, k, metric, slice_rows).drop("rank"))
+        .unionByName(nearest(table, on_all, k, metric=metric).drop("rank"))
+    )
+    return _ranked(hits, k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that were found, over all queries."""
     keys = ["query_id", "id"]

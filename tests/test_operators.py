@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
 from fieldtrace.operators import chunking, dedup, embedding, generation, knn, progress
@@ -206,6 +207,26 @@ def test_approximate_recall(spark, vectors):
     assert knn.recall(partly, exact).first()["recall"] > 0.7
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2sq"])
+def test_cells_are_exact(spark, vectors, metric):
+    # Narrow groups, whose far cells can be ruled out; zero vectors, and query ids that are there twice or null.
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 8))
+    close = [(f"w{i:03}", [float(x) for x in middles[i % 12] + rng.normal(size=8) / 50]) for i in range(240)]
+    data = vectors + close + [("zero2", [0.0] * 8)]
+    queries = [(None if n == 7 else n // 2 if n < 20 else n, v) for n, (_, v) in enumerate(data[::9])]
+    table = spark.createDataFrame(data, "id string, embedding array<float>").repartition(5)
+    asked = spark.createDataFrame([*queries, (990, [0.0] * 8)], "query_id int, embedding array<float>")
+    got = knn.nearest_cells(table, asked, 7, metric=metric, bits=6, slice_rows=20)
+    want = knn.nearest(table, asked, 7, metric=metric)
+    assert rows(got, "query_id", "id", "distance", "rank") == rows(want, "query_id", "id", "distance", "rank")
+
+
+def test_recall_of_cells(spark):
+    found = entry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").first()
+    assert found["n_exact"] >= 400 and found["recall"] >= 0.9
+
+
 def test_nearest_bounds(spark, vectors):
     table = spark.createDataFrame(vectors, "id string, embedding array<float>")
     asked = table.limit(0).withColumnRenamed("id", "query_id")
