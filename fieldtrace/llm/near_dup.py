@@ -130,8 +130,10 @@ def _lists(sketches: DataFrame, percent: int, k: int) -> DataFrame:
             F.sum("df").alias("score"),
         )
     )
+    # Sketches overlap as whole sets do if no partner has more than k members.
     whole = F.ceil(F.col("n") * percent / 100)
-    overlap = F.when(F.col("n") < k, whole).otherwise(least_overlap(percent, k))
+    kept_whole = 100 * F.col("n") < percent * (k + 1)
+    overlap = F.when(kept_whole, whole).otherwise(F.least(whole, F.lit(least_overlap(percent, k))))
     listed = (F.size("values") - overlap + 1).cast("int")
     return (
         own.where(listed > 0)

@@ -81,6 +81,15 @@ def test_no_link_is_lost(spark, percent):
     assert 5 < len({r[2] for r in want}) < len(rows)
 
 
+@pytest.mark.parametrize("percent, small, large", [(85, 63, 74), (80, 63, 78), (80, 62, 77), (80, 52, 65)])
+def test_partner_beyond_the_sketch(spark, percent, small, large):
+    texts = [odd.prose(1000 + i, large + 4).split() for i in range(60)]
+    rows = [(2 * i + j, " ".join(t[: n + 4]), "s") for i, t in enumerate(texts) for j, n in enumerate((small, large))]
+    want = brute(rows, percent)
+    assert len({r[2] for r in want}) == len(texts)
+    assert got(nd.near_duplicates(odd.frame(spark, rows), percent=percent)) == want
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(odd.empty(spark)).count() == 0
 
