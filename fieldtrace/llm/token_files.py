@@ -133,9 +133,10 @@ class TokenReader:
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins what white space parts.
 
-    Equal spellings are encoded once: a text's ids are those of its spellings in a row. A-Z become a-z
-    before, as the tokenizer does itself, and marks after a Latin letter or a digit, a piece of their
-    own for it, are spelt apart. Texts that may hold the tokenizer's special tokens go to it whole.
+    Equal spellings are encoded once: a text's ids are those of its spellings in a row. In plain ASCII words
+    A-Z become a-z before, as the tokenizer does itself; others keep their case, as it composes letters
+    with marks first. Marks like full stops after a small Latin letter or a digit, a piece of their own
+    for it, are spelt apart. Texts that may hold the tokenizer's special tokens go to it whole.
     """
 
     MARKS = np.isin(np.arange(256), list(b".,!?;:*$%&#|"))
@@ -154,8 +155,10 @@ class WordEncoder:
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         special = [b"<|" in text for text in texts]
         rows = pa.array([b"" if s else t for t, s in zip(texts, special, strict=True)], pa.binary())
-        words = pc.ascii_split_whitespace(pc.ascii_lower(rows.cast(pa.string())))
-        flat, counts = self._spelt(words.flatten())
+        words = pc.ascii_split_whitespace(rows.cast(pa.string()))
+        flat = words.flatten()
+        flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat)
+        flat, counts = self._spelt(flat)
         codes = flat.dictionary_encode()
         ids, sizes = self._ids(codes.dictionary.cast(pa.binary()).to_pylist())
         begins = np.cumsum(sizes) - sizes

@@ -49,6 +49,13 @@ def test_words_are_encoded_as_in_whole_texts(tokenizer):
     assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_capitals_that_compose_only_when_small(tokenizer):
+    texts = ["H\u0331", "T\u0308a, W\u030a. Y\u030a; J\u030c", "xH\u0331 AH\u0331, H\u0331. É, THE Ḫ E\u0301A.", "The THE, ÉA, ÉA"]
+    got = tf.encoder(tf.tokenizer_path("word_bpe_49k.json"))([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0].tolist() != tokenizer.encode("h\u0331", add_special_tokens=False).ids
+
+
 class Counted:
     """A file that tells which bytes are read."""
 
