@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrace.llm import (
+    byte_bpe,
     line_dedup,
     mixing,
     near_dup,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules.query,
     "op9_token_files": token_files.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_byte_bpe": byte_bpe.query,
 }
 ORACLES: dict[str, str] = {
     "op3_stream_dedup": stream_dedup.SQL,
