@@ -9,15 +9,16 @@ and ids are decoded by going from pieces back to bytes.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fieldtrace.llm.common import add_columns, packed_columns, ragged, table, unpacked, without
@@ -79,42 +80,76 @@ def serialised(tokens: list[bytes]) -> bytes:
 # === parts of texts ============================================================================
 
 
+# Texts are matched by kinds of characters: ASCII stands for itself, others for their kind.
+LETTER, NUMBER, SPACE, OTHER, ASK = 0x80, 0x81, 0x82, 0x83, 0xFF
+KINDS = {r"\p{L}": "A-Za-z\x80", r"\p{N}": "0-9\x81", r"\s": "\t-\r \x82"}
+
+
+def by_kinds(pattern: str) -> re.Pattern:
+    """A pattern of the classes `\\p{L}`, `\\p{N}`, `\\s` and `\\S` and of ASCII characters, for texts of kinds."""
+    found, at, inside = "", 0, False
+    while at < len(pattern):
+        part = next((k for k in [*KINDS, r"\S"] if pattern.startswith(k, at)), pattern[at : at + 1])
+        if part == "\\":
+            part = pattern[at : at + 2]
+            if part[1:].isalnum() and part[1:] not in "nrt":
+                raise ValueError(f"no class {part} in patterns")
+        at += len(part)
+        if part in KINDS:
+            found += KINDS[part] if inside else f"[{KINDS[part]}]"
+        elif part == r"\S":
+            if inside:
+                raise ValueError("no class \\S in brackets")
+            found += "[^" + KINDS[r"\s"] + "]"
+        else:
+            inside = (inside or part == "[") and part != "]"
+            found += part
+    return re.compile(found, re.ASCII)
+
+
 @lru_cache(maxsize=1)
-def _unassigned() -> regex.Pattern:
-    """Characters that Python's Unicode does not know; libraries with other versions may differ in them."""
-    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-    edges = np.flatnonzero(np.diff(free.view(np.int8), prepend=0, append=0))
-    ranges = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
-    return regex.compile(f"[{ranges}]")
+def _kinds() -> np.ndarray:
+    """The kind of every character. Those Python's Unicode does not know are asked for when met, as the
+    rank library may have another version."""
 
+    def kind(char: str) -> int:
+        category = unicodedata.category(char)
+        if char.isspace() and (category != "Cc" or char == "\x85"):
+            return SPACE
+        return {"L": LETTER, "N": NUMBER}.get(category[0], ASK if category == "Cn" else OTHER)
 
-_stand_ins: dict[str, str] = {}
+    return np.array([*range(128), *[kind(chr(c)) for c in range(128, 0x110000)]], dtype=np.uint8)
 
 
-def _learn(chars: set[str]) -> None:
-    """Notes a well-known character of the kind (letter, number, other) that the rank library sees in each."""
+def _learn(points: np.ndarray) -> None:
+    """Notes the kinds that the rank library sees in characters."""
     import tiktoken
 
-    order = sorted(chars)
+    chars = [chr(c) for c in points]
     ranks = {bytes([b]): b for b in range(256)}
     for before in (b"a", b"1"):
-        ranks |= {before + c.encode(): len(ranks) + i for i, c in enumerate(order)}
+        first = len(ranks)
+        ranks |= {before + c.encode(): first + i for i, c in enumerate(chars)}
     pattern = r"\p{L}+|\p{N}+|[^\p{L}\p{N}]+"
     asked = tiktoken.Encoding("kinds", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    kinds = {"ä": "a", "²": "1"}
-    for char in order:
-        alike = (c for c, before in kinds.items() if len(asked.encode_ordinary(before + char)) == 1)
-        _stand_ins[char] = next(alike, "¶")
+    for point, char in zip(points, chars, strict=True):
+        alike = (k for k, before in ((LETTER, "a"), (NUMBER, "1")) if len(asked.encode_ordinary(before + char)) == 1)
+        _kinds()[point] = next(alike, OTHER)
 
 
-def split(pattern: regex.Pattern, text: str) -> list[str]:
-    """The matches of the pattern in a row."""
-    found = set() if text.isascii() else set(_unassigned().findall(text))
-    if not found:
+def split(pattern: re.Pattern, text: str) -> list[str]:
+    """The matches of a pattern of kinds in a row."""
+    if text.isascii():
         return pattern.findall(text)
-    if not found <= _stand_ins.keys():
-        _learn(found - _stand_ins.keys())
-    usual = _unassigned().sub(lambda m: _stand_ins[m.group()], text)
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    kinds = _kinds()[points]
+    if (kinds == ASK).any():
+        _learn(np.unique(points[kinds == ASK]))
+        kinds = _kinds()[points]
+    usual = kinds.tobytes().decode("latin-1")
+    ends = list(accumulate(map(len, pattern.findall(usual))))
+    if ends[-1:] == [len(text)]:
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
     return [text[m.start() : m.end()] for m in pattern.finditer(usual)]
 
 
@@ -133,7 +168,7 @@ class ByteBpe:
         if missing:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         tokens = sorted(ranks, key=ranks.get)
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern = ranks, by_kinds(pattern)
         self.model = SentencePieceProcessor(model_proto=serialised(tokens))
         self.by_piece = np.array([*[ranks[t] for t in tokens], 0], dtype=np.uint32)
         self.known = Spellings(self._encoded)

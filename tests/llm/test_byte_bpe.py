@@ -38,10 +38,18 @@ def strings(seed: int, n: int) -> list[str]:
 def test_ids_of_the_library(library):
     coder = bb._coder(FILE, None)
     texts = [*strings(1, 4000), "", "a" * 3000, "日本語" * 500, " " * 999, "don't" * 50, "<|endoftext|>", "x\x00y"]
-    bb._learn(set(bb._unassigned().findall("".join(texts))))  # at once, as it takes its time per text
+    points = bb.np.unique(bb.np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"))
+    bb._learn(points[bb._kinds()[points] == bb.ASK])  # at once, as it takes its time per text
     assert coder.encode([t.encode() for t in texts]).to_pylist() == [library.encode_ordinary(t) for t in texts]
 
 
+def test_patterns_of_kinds():
+    assert bb.split(bb.by_kinds(r"\p{L}+|\p{N}"), "ab1²é…x") == ["ab", "1", "²", "é", "x"]
+    assert bb.split(bb.by_kinds(r"[\s\[]+|\S"), "a [\x1cé") == ["a", " [", "\x1c", "é"]
+    with pytest.raises(ValueError, match="no class"):
+        bb.by_kinds(r"\p{Lu}")
+
+
 def test_every_token_decodes_to_its_bytes(library):
     coder = bb._coder(FILE, None)
     ids = list(range(library.n_vocab))
