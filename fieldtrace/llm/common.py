@@ -141,10 +141,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _passing(spark: SparkSession, name: str) -> str:
     """A new path in the shared work folder, which goes when the session's JVM ends."""
-    path = new_path(spark, name)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, name))
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    # A path without a scheme is one of the default file system, here as in Spark's own writers.
+    where = system.makeQualified(where)
+    system.deleteOnExit(where)
+    return where.toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -160,3 +162,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = _passing(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_files(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """As `written`, with the table's files, for tasks that read them by themselves."""
+    path = _passing(df.sparkSession, name)
+    df.write.parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).listStatus(where)
+    files = sorted(f.getPath().toString() for f in found if f.getPath().getName().endswith(".parquet"))
+    return df.sparkSession.read.schema(df.schema).parquet(path), files

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldtrace.llm import (
     byte_bpe,
+    divergence,
+    hard_negatives,
     line_dedup,
     mixing,
     near_dup,
@@ -32,10 +34,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": token_files.query,
     "op10_line_dedup": line_dedup.query,
     "op11_byte_bpe": byte_bpe.query,
+    "op12_hard_negatives": hard_negatives.query,
+    "op13_divergence": divergence.query,
 }
 ORACLES: dict[str, str] = {
     "op3_stream_dedup": stream_dedup.SQL,
     "op5_warc": warc.SQL,
     "op7_minhash_near_dup": near_dup.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_divergence": divergence.SQL,
 }
