@@ -20,11 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldtrace.llm.common import blocks, filesystem, new_folder, ragged, table, written
+from fieldtrace.llm.spellings import Spellings
 
 FRAME_BYTES = 1 << 18
 BLOCK = 8 << 20
-CACHE_WORDS = 500_000  # spellings a Python worker remembers
-LONG_WORD = 64  # bytes; longer spellings are not remembered
 # Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE, WITH_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -49,17 +48,28 @@ class TokenWriter:
         self.packer = zstandard.ZstdCompressor(level=1)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        if self.size and self.size + 4 * len(ids) > self.limit:
-            self._flush()
-        self.ids.append(doc_id)
-        self.counts.append(len(ids))
-        self.pending.append(ids)
-        self.size += 4 * len(ids)
-        if self.size >= self.limit:
-            self._flush()
+        self.add_all([doc_id], np.array([len(ids)]), ids)
+
+    def add_all(self, doc_ids: list[int], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in a row: their ids one after the other, and how many each has."""
+        self.ids += doc_ids
+        self.counts += counts.tolist()
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = 0
+        while at < len(doc_ids):
+            # As many as the frame has room for; a document that needs more has frames of its own.
+            room = (self.limit - self.size) // 4
+            upto = int(np.searchsorted(ends, ends[at] + room, "right")) - 1
+            if upto == at and not self.size:
+                upto = at + 1
+            self.pending.append(ids[ends[at] : ends[upto]])
+            self.size += 4 * int(ends[upto] - ends[at])
+            at = upto
+            if at < len(doc_ids) or self.size >= self.limit:
+                self._flush()
 
     def _flush(self) -> None:
-        data = np.concatenate([np.empty(0, np.uint32), *self.pending]).astype("<u4").tobytes()
+        data = b"".join(part.astype("<u4", copy=False).tobytes() for part in self.pending)
         for at in range(0, len(data), self.limit):
             self._frame(data[at : at + self.limit])
         self.pending, self.size = [], 0
@@ -110,9 +120,10 @@ class TokenReader:
             self.kept = (number, data)
         return self.kept[1]
 
-    def tokens(self, place: int) -> bytes:
-        """The ids of the document at a place of the list, as bytes."""
-        start, end = 4 * int(self.starts[place]), 4 * int(self.starts[place] + self.counts[place])
+    def tokens(self, first: int, last: int | None = None) -> bytes:
+        """The ids of the document at a place of the list, or of those up to another place, as bytes."""
+        last = first if last is None else last
+        start, end = 4 * int(self.starts[first]), 4 * int(self.starts[last] + self.counts[last])
         number = int(np.searchsorted(self.begins[:-1], start, "right")) - 1
         parts = []
         while start < end:
@@ -146,31 +157,42 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known = Spellings(lambda words: self.whole([w.decode() for w in words]))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        special = [b"<|" in text for text in texts]
-        rows = pa.array([b"" if s else t for t, s in zip(texts, special, strict=True)], pa.binary())
-        words = pc.ascii_split_whitespace(rows.cast(pa.string()))
+        """The ids of every text."""
+        ids, counts = self.rows(texts)
+        return np.split(ids, np.cumsum(counts)[:-1])
+
+    def rows(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's with `end_id` behind, and how many each has."""
+        special = [at for at, text in enumerate(texts) if b"<|" in text]
+        plain = list(texts)
+        for at in special:
+            plain[at] = b""
+        words = pc.ascii_split_whitespace(pa.array(plain, pa.binary()).cast(pa.string()))
         flat = words.flatten()
         flat = pc.if_else(pc.string_is_ascii(flat), pc.ascii_lower(flat), flat)
-        flat, counts = self._spelt(flat)
+        flat, n_spelt = self._spelt(flat)
         codes = flat.dictionary_encode()
-        ids, sizes = self._ids(codes.dictionary.cast(pa.binary()).to_pylist())
-        begins = np.cumsum(sizes) - sizes
+        ids, sizes = self.known(codes.dictionary.cast(pa.binary()).to_pylist())
         code = codes.indices.to_numpy()
-        found, ends = ragged(ids, begins[code], sizes[code])
+        found, ends = ragged(ids, (np.cumsum(sizes) - sizes)[code], sizes[code])
         # Ids before each word, then before each text.
-        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_spelt)])]
         cuts = before[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        result = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        for at in np.flatnonzero(special):
-            result[at] = self.whole([texts[at].decode()])[0]
-        return result
+        if special:
+            parts = np.split(found, cuts[1:-1])
+            for at, whole in zip(special, self.whole([texts[at].decode() for at in special]), strict=True):
+                parts[at] = whole
+            found, cuts = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        if end_id is not None:
+            found = np.insert(found, cuts[1:], np.uint32(end_id))
+        return found, np.diff(cuts) + (end_id is not None)
 
     def _spelt(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The spellings of all words, and how many each word has: 0 (empty), 1, or 2 with marks."""
@@ -190,24 +212,6 @@ class WordEncoder:
         buffers = [None, pa.py_buffer(cuts), pa.py_buffer(data)]
         return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, buffers), counts
 
-    def _ids(self, spellings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all spellings in a row, and how many each has."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = [s for s in spellings if s not in known]
-        fresh: dict[bytes, np.ndarray] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for spelling, ids in zip(part, self.whole([s.decode() for s in part]), strict=True):
-                if len(spelling) <= LONG_WORD:
-                    known[spelling] = ids
-                else:
-                    fresh[spelling] = ids
-        found = [known[s] if s in known else fresh[s] for s in spellings]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.concatenate([np.empty(0, np.uint32), *found]), sizes
-
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -253,13 +257,12 @@ def write_tokens(
         context = TaskContext.get()
         name = f"{context.partitionId():05d}-{context.taskAttemptId()}.tokens"
         encode = encoder(tokenizer if "/" in tokenizer else tokenizer_path(tokenizer))
-        end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
         with system.open_output_stream(f"{inner}/.{name}", compression=None) as out:
             writer = TokenWriter(out)
             for rows, texts in blocks(batches, "text", BLOCK):
                 ids = rows["id"].fill_null(np.iinfo(np.int64).min).to_pylist()
-                for doc_id, found in zip(ids, encode(texts), strict=True):
-                    writer.add(doc_id, np.concatenate([found, end]))
+                found, counts = encode.rows(texts, end_id)
+                writer.add_all(ids, counts, found)
             writer.close()
         system.move(f"{inner}/.{name}", f"{inner}/{name}")
         if writer.ids:
@@ -272,7 +275,7 @@ def write_tokens(
                 }
             )
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     dealt = narrow.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
     found = written(dealt.mapInArrow(run, "part int, file string, n_docs long, n_tokens long"), "token-files")
     # One row per file: a few for each task of the cluster.
@@ -294,16 +297,23 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 system, inner = filesystem(path)
                 with system.open_input_file(inner) as file:
                     reader = TokenReader(file)
-                    step = 1000
-                    for at in range(0, len(reader.ids), step):
-                        places = range(at, min(at + step, len(reader.ids)))
+                    first = 0
+                    while first < len(reader.ids):
+                        # Documents of about a megabyte together.
+                        upto = np.searchsorted(reader.starts, reader.starts[first] + (1 << 18), "right")
+                        last = max(first, int(upto) - 2)
+                        at = slice(first, last + 1)
+                        cuts = 4 * np.concatenate([[0], np.cumsum(reader.counts[at])])
+                        sizes, data = pa.py_buffer(cuts), pa.py_buffer(reader.tokens(first, last))
+                        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, sizes, data])
                         yield pa.RecordBatch.from_pydict(
                             {
-                                "doc_id": pa.array(reader.ids[at : at + step]),
-                                "start": pa.array(start + reader.starts[at : at + step]),
-                                "tokens": pa.array([reader.tokens(i) for i in places], pa.binary()),
+                                "doc_id": pa.array(reader.ids[at]),
+                                "start": pa.array(start + reader.starts[at]),
+                                "tokens": ids.cast(pa.binary()),
                             }
                         )
+                        first = last + 1
 
     dealt = files.repartition(max(1, files.count())).select("file", "start")
     found = dealt.mapInArrow(run, "doc_id long, start long, tokens binary")
