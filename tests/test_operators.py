@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fieldtrace import fixed
 from fieldtrace.functions import text as tx
-from fieldtrace.operators import chunking, dedup, embedding, generation, knn, progress
+from fieldtrace.operators import chunking, dedup, embedding, generation, index, knn, progress
 
 
 def test_chunks(spark):
@@ -222,9 +222,33 @@ def test_cells_are_exact(spark, vectors, metric):
     assert rows(got, "query_id", "id", "distance", "rank") == rows(want, "query_id", "id", "distance", "rank")
 
 
-def test_recall_of_cells(spark):
+def test_index_reads_few_vectors_and_misses_none(spark):
     found = entry.queries()["knn_recall"](spark, "/root/testdata/sf0.1").first()
-    assert found["n_exact"] >= 400 and found["recall"] >= 0.9
+    assert found["n_exact"] >= 400 and found["recall_reached"] and found["few_vectors_read"]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2sq"])
+def test_index_is_exact(spark, vectors, metric, tmp_path):
+    rng = np.random.default_rng(6)
+    close = [(f"w{i:03}", [float(x) for x in rng.normal(size=8) / 9 + i % 5]) for i in range(300)]
+    data = [*vectors, *close, *[(f"z{i}", [0.0] * 8) for i in range(3)], *[(f"t{i}", close[0][1]) for i in range(40)]]
+    table = spark.createDataFrame([*data, ("none", None)], "id string, embedding array<float>").repartition(4)
+    queries = [(None if n == 7 else n // 2, v) for n, (_, v) in enumerate(data[::7])]
+    asked = spark.createDataFrame([*queries, (990, [0.0] * 8)], "query_id int, embedding array<float>")
+    made = index.train(table, str(tmp_path / "index"), metric, partitions=9, code_bytes=3, sample_rows=200)
+    made.add(table.where("id < 'v'"))
+    made.add(table.where("id >= 'v'"))
+    want = rows(knn.nearest(table, asked, 6, metric=metric), "query_id", "id", "distance", "rank")
+    again = index.Index(spark, str(tmp_path / "index"))
+    for probes, scan_bytes in ((1, 1 << 20), (9, 1 << 20), (2, 2000)):
+        got = again.search(asked, 6, probes=probes, scan_bytes=scan_bytes)
+        if scan_bytes > 2000:
+            assert rows(got, "query_id", "id", "distance", "rank") == want
+        else:
+            assert got.count() == len(want)
+    partly = again.search(asked, 6, probes=2, exact=False)
+    assert partly.where("rank = 1").count() > 0
+    assert again.search(asked.limit(0), 6).count() == 0
 
 
 def test_nearest_bounds(spark, vectors):
