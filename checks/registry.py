@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import ctes as sq
 from checks.tables import (
+    CHAIN_SQL,
+    CHAIN_TEXT,
+    FLOW_ROWS,
+    FLOW_TEXT,
     JAVA_PATH,
     SCOPE_ROWS,
     SCOPE_TEXT,
@@ -27,6 +31,7 @@ from fieldtrace.plans import (
     lineage,
     questions,
     rag,
+    reach,
     search,
     tokens as tk,
 )
@@ -1628,6 +1633,23 @@ def _(spark, sf):
     )
 
 
+@check("fields_reached", CHAIN_SQL)
+def _(spark, sf):
+    """All fields that the fields of three types arrive in, over mappers and methods of all files."""
+    docs = table(spark, sf, "documents")
+    texts = docs.select(F.expr(JAVA_PATH).alias("file_path"), F.expr(CHAIN_TEXT).alias("content"))
+    starts = docs.where("doc_id % 40 < 3").selectExpr("concat('N', doc_id % 40) as type", "concat('f', doc_id % 7) as field")
+    return reach.reached(lineage.field_mappings(texts), starts)
+
+
+@check("flow_forms", FLOW_ROWS)
+def _(spark, sf):
+    """Variables by the assignment they hold where they are used, and computed values; rows from the template."""
+    docs = table(spark, sf, "documents")
+    texts = docs.select(F.expr(JAVA_PATH).alias("file_path"), F.expr(FLOW_TEXT).alias("content"))
+    return lineage.field_mappings(texts).select("file_path", "target_field", "source_field", "expression")
+
+
 @check(
     "inline_source",
     f"select doc_id, {JAVA_PATH} as file_path, length(text) as n_chars from documents "

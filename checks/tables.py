@@ -94,6 +94,64 @@ from documents, (values
 ) v(type, method, source_type, target_type, source_field, target_field, implicit)"""
 
 
+# What a variable holds where it is used, and values computed from a getter. The text of the document stands
+# in a string's place, as a comment between a name and its parenthesis.
+FLOW_TEXT = f"""concat(
+ 'class Flow', {_n()}, ' {{', chr(10),
+ '  void mapFlow /* ', replace(text, '*/', '* /'), ' */ (S s, T t) {{', chr(10),
+ '    String v = s.getA(); t.setOne(v); v = s.get', {_CAP}, '(); t.setTwo(v);', chr(10),
+ '    if (s.ok()) {{ v = s.getC(); t.setThree(v); }} else {{ t.setFour(v); }}', chr(10),
+ '    t.setFive(v); String w; t.setNone(w);', chr(10),
+ '    if (s.ok()) {{ w = s.getD(); }} else {{ w = s.getE(); }} t.setSix(w);', chr(10),
+ '    for (X x : xs) {{ {{ v = s.getF(); }} t.setSeven(v); v = s.getG(); {{ t.setEight(v); }} }}', chr(10),
+ '    t.setTrim(s.get', {_CAP}, '().trim()); t.setCast((long) s.getN());', chr(10),
+ '    t.setPick(s.getP() == null ? "s.getQ()" : other); t.setHelp(help(s)); t.setText("s.getZ()");', chr(10),
+ '    t.setKey(s.getMap().get("', source, '").trim()); o.setLost(s.getO().trim());', chr(10),
+ '  }}', chr(10), '}}')"""
+
+FLOW_ROWS = f"""
+select {JAVA_PATH} as file_path, v.target_field,
+ replace(replace(v.source_field, '$lang', lang), '$source', source) as source_field,
+ replace(replace(v.expression, '$cap', {_CAP}), '$source', source) as expression
+from documents, (values
+ ('one', 'a', null), ('two', '$lang', null), ('three', 'c', null), ('four', '$lang', null), ('five', '$lang', null),
+ ('six', 'e', null), ('seven', '$lang', null), ('eight', 'g', null),
+ ('trim', '$lang', 's.get$cap().trim()'), ('cast', 'n', '(long) s.getN()'),
+ ('pick', 'p', 's.getP() == null ? "s.getQ()" : other'), ('help', 'unknown', 'help(s)'),
+ ('key', 'map.$source', 's.getMap().get("$source").trim()')
+) v(target_field, source_field, expression)"""
+
+
+# Mappers whose target types are the source types of others, in circles too.
+CHAIN_TEXT = f"""concat(
+ '/* ', replace(text, '*/', '* /'), ' */ @Mapper interface C', {_n()}, ' {{ @Mapping(source = "f', {_n(7)},
+ '", target = "f', cast(doc_id * 3 % 7 as varchar(20)), '") N', cast((doc_id * 7 + 1) % 40 as varchar(20)),
+ ' one(N', {_n(40)}, ' s);',
+ case when doc_id % 11 = 0 then concat(' N', cast((doc_id + 5) % 40 as varchar(20)), ' same(N', {_n(40)}, ' v);') else '' end,
+ ' }}', chr(10), 'class D', {_n()}, ' {{ N', cast((doc_id * 3 + 2) % 40 as varchar(20)), ' convertIt(N',
+ cast((doc_id * 7 + 1) % 40 as varchar(20)), ' s) {{ t.setF', cast((doc_id + 2) % 7 as varchar(20)), '(s.getF',
+ cast(doc_id * 3 % 7 as varchar(20)), '().trim()); t.setF6(CONSTANT); return t; }} }}')"""
+
+CHAIN_SQL = """
+with recursive e as (
+  select 'N' || doc_id % 40 as type, 'f' || doc_id % 7 as field,
+    'N' || (doc_id * 7 + 1) % 40 as to_type, 'f' || doc_id * 3 % 7 as to_field from documents
+  union
+  select 'N' || (doc_id * 7 + 1) % 40, 'f' || doc_id * 3 % 7, 'N' || (doc_id * 3 + 2) % 40, 'f' || (doc_id + 2) % 7
+  from documents
+  union
+  select 'N' || doc_id % 40, null, 'N' || (doc_id + 5) % 40, null from documents where doc_id % 11 = 0
+), starts as (
+  select distinct 'N' || doc_id % 40 as type, 'f' || doc_id % 7 as field from documents where doc_id % 40 < 3
+), r as (
+  select type as start_type, field as start_field, type, field, 0 as hops from starts
+  union
+  select start_type, start_field, e.to_type, coalesce(e.to_field, r.field), hops + 1
+  from r join e on e.type = r.type and (e.field = r.field or e.field is null) where hops < 40
+)
+select start_type, start_field, type, field, min(hops)::int as hops from r group by all"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,6 +20,7 @@ FIELD_MAPPING_COLUMNS = [
 ]
 
 IDENTIFIER = r"(?U)^\w+$"
+BARE_GETTER = r"(?U)^(\w+)\.get(\w+)\s*\(\s*\)$"
 
 
 def _null(kind: str = "string") -> Column:
@@ -197,7 +198,7 @@ def variable_sources(rows: DataFrame) -> DataFrame:
 
 
 def last_sources(variables: DataFrame) -> DataFrame:
-    """The last assignment of each variable in its method wins."""
+    """What each variable of a method holds at its end; `with_sources` has what it holds at each use."""
     return variables.groupBy("file_path", "method_pos", "var").agg(
         F.max_by("path", "pos").alias("path")
     )
@@ -220,14 +221,22 @@ def _within(key: str):
 
 
 def with_sources(rows: DataFrame) -> DataFrame:
-    """Adds `path` to setter calls: the source path of the variable they are given, if it has one."""
+    """Adds `path` to setter calls: the source path of the variable they are given, if it has one.
+
+    The value is the one the variable has there: of the last assignment before the call in a block that is
+    still open; where all of them stand in blocks that closed (branches of an `if`), of the last one.
+    """
     own = F.col("own_path").isNotNull()
     key = F.when(own, F.col("var")).when(F.col("kind") == "setter", F.col("value"))
-    last = F.max_by("own_path", F.when(own, F.col("pos"))).over(_within("__key"))
+    before = _within("__key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    given = F.when(own, F.struct("own_path", F.col("block_end").alias("until")))
+    open_here = F.filter("__given", lambda g: g["until"].isNull() | (g["until"] > F.col("pos")))
+    last = F.coalesce(F.try_element_at(open_here, F.lit(-1)), F.try_element_at("__given", F.lit(-1)))["own_path"]
     return (
         rows.withColumn("__key", key)
-        .withColumn("path", F.when(F.col("kind") == "setter", last))
-        .drop("__key")
+        .withColumn("__given", F.collect_list(given).over(before))
+        .withColumn("path", F.when((F.col("kind") == "setter") & (F.size("__given") > 0), last))
+        .drop("__key", "__given")
     )
 
 
@@ -294,23 +303,31 @@ def _own_path(var: Column, field: Column) -> Column:
     )
 
 
-def _assigned(source: Column, value: Column | None = None) -> Column:
-    return _mapped(
-        source_field=source,
-        target_field=F.col("field"),
-        target_path=_own_path(F.col("var"), F.col("field")),
-        value=_null() if value is None else value,
-    )
+def _assigned(source: Column, **more: Column) -> Column:
+    target_path = _own_path(F.col("var"), F.col("field"))
+    return _mapped(source_field=source, target_field=F.col("field"), target_path=target_path, **more)
+
+
+def _on_target() -> Column:
+    return F.col("target_var").isNull() | (F.col("var") == F.col("target_var"))
 
 
 def _setter() -> Column:
     """`t.setX(src.getY())` where `src` is the source parameter."""
-    getter = r"(?U)^(\w+)\.get(\w+)\s*\(\s*\)$"
-    return F.when(
-        (F.col("kind") == "setter")
-        & (F.regexp_extract("value", getter, 1) == F.col("source_var")),
-        _assigned(tx.decapitalise(F.regexp_extract("value", getter, 2))),
-    )
+    return F.when(_is_bare_getter(), _assigned(tx.decapitalise(F.regexp_extract("value", BARE_GETTER, 2))))
+
+
+def _is_bare_getter() -> Column:
+    return (F.col("kind") == "setter") & (F.regexp_extract("value", BARE_GETTER, 1) == F.col("source_var"))
+
+
+def _computed() -> Column:
+    """`t.setX(f(src.getY()))` on the target: the value is computed from the source parameter.
+
+    The text of the value is the expression; without a getter the source field is `unknown`.
+    """
+    computed = (F.col("kind") == "setter") & ~_is_bare_getter() & _reads_source() & _on_target()
+    return F.when(computed, _assigned(value_source(), expression=F.col("value")))
 
 
 def _direct() -> Column:
@@ -326,10 +343,9 @@ def _direct() -> Column:
 
 def _variable() -> Column:
     """`target.setX(v)` where `v` was read from the source: the field comes from that path."""
-    on_target = F.col("target_var").isNull() | (F.col("var") == F.col("target_var"))
     return F.when(
-        (F.col("kind") == "setter") & F.col("path").isNotNull() & on_target,
-        _assigned(F.col("path"), F.col("value")),
+        (F.col("kind") == "setter") & F.col("path").isNotNull() & _on_target(),
+        _assigned(F.col("path"), value=F.col("value")),
     )
 
 
@@ -353,11 +369,16 @@ def _nested() -> Column:
     return F.transform(F.coalesce("places", F.array()), at)
 
 
+def _reads_source(value="value", source_var="source_var") -> Column:
+    """Whether a value names the source parameter, outside of literals."""
+    bare = F.regexp_replace(value, tk.LITERAL, "")
+    return F.regexp_like(bare, F.concat(F.lit(r"(?U)\b"), F.col(source_var), F.lit(r"\b")))
+
+
 def value_source(value="value", path="path", source_var="source_var") -> Column:
     """Where a nested value comes from: source path, known variable, constant or literal."""
+    reads = _reads_source(value, source_var)
     value, path, var = F.col(value), F.col(path), F.col(source_var)
-    bare = F.regexp_replace(value, tk.LITERAL, "")
-    reads = F.regexp_like(bare, F.concat(F.lit(r"(?U)\b"), var, F.lit(r"\b")))
     getter = r"\.get\w+\s*\(\s*\)(?:\s*\.get\s*\([^()]*\))?"
     call = F.regexp_substr(value, F.concat(F.lit(r"(?U)\b"), var, F.lit(getter)))
     from_source = F.coalesce(source_path(call), F.lit("unknown"))
@@ -400,6 +421,10 @@ def setter_assignments(rows: DataFrame) -> DataFrame:
     return _as_field_mappings(rows, F.array(_setter()))
 
 
+def computed_assignments(rows: DataFrame) -> DataFrame:
+    return _as_field_mappings(with_sources(rows), F.array(_computed()))
+
+
 def direct_assignments(rows: DataFrame) -> DataFrame:
     return _as_field_mappings(rows, F.array(_direct()))
 
@@ -421,7 +446,7 @@ def nested_assignments(rows: DataFrame) -> DataFrame:
 def pojo_field_mappings(rows: DataFrame) -> DataFrame:
     """All field mappings of the hand-written methods; methods without any have no row."""
     resolved = _with_value_source(with_places(with_sources(rows)))
-    one = F.array(_setter(), _direct(), _variable())
+    one = F.array(_setter(), _computed(), _direct(), _variable())
     return _as_field_mappings(resolved, F.concat(one, _nested()))
 
 
@@ -436,10 +461,10 @@ def field_mappings(
     """All field mappings of Java sources, one flat row each, in one pass over the texts."""
     # Texts with neither a mapper nor a name of a mapping method have none.
     names = "|".join(fixed.POJO_PREFIXES)
-    likely = F.col(text_col).contains("@Mapper") | F.col(text_col).rlike(rf"(?U)\b(?:{names})\w*\s*\(")
+    likely = F.col(text_col).contains("@Mapper") | F.col(text_col).rlike(rf"(?U)\b(?:{names})\w*\s*(?:\(|/[/*])")
     rows = statements(tk.scoped(tk.tokens(sources.where(likely), path_col, text_col)))
     # Headers and statements of other methods give nothing.
     useful = rows.where(F.col("is_pojo") | (F.col("in_mapper") & ~F.col("kind").isin(tk.HEADERS)))
     resolved = _with_value_source(with_places(with_sources(useful)))
-    one = F.array(_explicit(), _implicit(), _setter(), _direct(), _variable())
+    one = F.array(_explicit(), _implicit(), _setter(), _computed(), _direct(), _variable())
     return _as_field_mappings(resolved, F.concat(one, _nested()))

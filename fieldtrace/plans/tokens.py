@@ -173,7 +173,8 @@ def first_parameter_type(args="args") -> Column:
 
 
 def _nesting(toks: DataFrame) -> DataFrame:
-    """Adds `__scope`: in how many classes, interfaces and method bodies a token stands.
+    """Adds `__scope`: in how many classes, interfaces and method bodies a token stands; and `block_end`:
+    where the block closes that it stands in.
 
     A closing brace ends what the last opening one on its level began, so levels of all braces come
     first, and then those of the scopes among them. An opening token counts as inside its own block.
@@ -186,12 +187,18 @@ def _nesting(toks: DataFrame) -> DataFrame:
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    from_here = (
+        Window.partitionBy("file_path", "__level")
+        .orderBy("pos")
+        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    )
     kind = F.col("kind")
     opens, closes, is_scope = kind.isin("open", *SCOPES), kind == "close", kind.isin(SCOPES)
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     return (
         toks.withColumn("__level", F.sum(step).over(upto) + F.when(closes, 1).otherwise(0))
         .withColumn("__ends", closes & F.last(F.when(opens, is_scope), ignorenulls=True).over(on_level))
+        .withColumn("block_end", F.first(F.when(closes, F.col("pos")), ignorenulls=True).over(from_here))
         .withColumn("__scope", F.sum(F.when(is_scope, 1).when(F.col("__ends"), -1).otherwise(0)).over(upto))
         .where(~kind.isin(BRACES))
         .drop("__level", "__ends")
@@ -203,7 +210,7 @@ def scoped(toks: DataFrame) -> DataFrame:
 
     Adds `decl`, `decl_pos`, `in_mapper`; of the method `method_pos`, `method_kind`, `return_type`,
     `method`, `params`, `args`; and for a method `annotated`: a mapping annotation with a target is
-    directly before it. Braces say where a scope ends: what follows a nested type or an anonymous class
+    directly before it. `block_end` is where the block around a token closes. Braces say where a scope ends: what follows a nested type or an anonymous class
     belongs to the method or type around it again.
     """
     rows = Window.partitionBy("file_path").orderBy("pos")
@@ -257,6 +264,7 @@ def scoped(toks: DataFrame) -> DataFrame:
         "pos",
         "kind",
         "token",
+        "block_end",
         F.col("__decl.name").alias("decl"),
         F.col("__decl.pos").alias("decl_pos"),
         F.coalesce("__decl.mapper", F.lit(False)).alias("in_mapper"),

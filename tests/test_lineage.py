@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from java import FLEET, FLEET_ROWS, NESTED, NESTED_ROWS
 
-from fieldtrace.plans import entries as en, lineage, questions, tokens as tk
+from fieldtrace.plans import entries as en, lineage, questions, reach, tokens as tk
 from fieldtrace.sources.files import inline_source
 
 FLAT = [
@@ -174,3 +174,54 @@ def test_questions(spark):
     ]
     assert questions.by_types(mappings, "Truck", "Card").count() == 2
     assert rows(questions.field_usage(mappings, source, "ROAD")) == [("a.java", 1)]
+
+
+def test_values_by_flow(spark):
+    text = """class P { void mapX(S s, T t) {
+      v = s.getA(); t.setOne(v); v = s.getB(); t.setTwo(v);
+      if (c) { v = s.getC(); } else { t.setThree(v); }
+      t.setFour(v); t.setEarly(w); w = s.getW(); } }"""
+    assert found(spark, text, "target_field", "source_field") == [
+        ("four", "b"), ("one", "a"), ("three", "b"), ("two", "b"),
+    ]
+
+
+def test_computed_values(spark):
+    text = """class P { T mapX(S s) {
+      t.setA(s.getA().trim()); t.setB((int) s.getB()); t.setC(x ? s.getC() : null); t.setD(f(s)); t.setE("s.getE()");
+      return t; } }"""
+    got = found(spark, text, "target_field", "source_field", "expression")
+    assert got == [
+        ("a", "a", "s.getA().trim()"), ("b", "b", "(int) s.getB()"), ("c", "c", "x ? s.getC() : null"),
+        ("d", "unknown", "f(s)"),
+    ]
+    assert questions.transformed(extract(spark, text)).count() == 4
+
+
+def test_comment_between_name_and_parenthesis(spark):
+    text = "class P { T mapX /* two */ (S s) { t.setA(s.getB()); return t; } }"
+    assert found(spark, text, "source_field", "target_field") == [("b", "a")]
+
+
+def test_fields_reached(spark):
+    text = """
+    @Mapper interface M { @Mapping(source = "a", target = "b") B one(A x); C two(B x); @Mapping(source = "b", target = "a") A back(C x); }
+    class P { D mapIt(C c) { d.setEnd(c.getB().trim()); d.setFixed(CONSTANT); return d; } }"""
+    starts = spark.createDataFrame([("A", "a"), ("B", "x"), ("Z", "z"), (None, "a"), ("A", "a")], "type string, field string")
+    got = rows(reach.reached(extract(spark, text), starts))
+    assert got == sorted(
+        [
+            ("A", "a", "A", "a", 0), ("A", "a", "B", "b", 1), ("A", "a", "C", "b", 2), ("A", "a", "D", "end", 3),
+            ("B", "x", "B", "x", 0), ("B", "x", "C", "x", 1), ("Z", "z", "Z", "z", 0),
+        ],
+        key=repr,
+    )
+    assert reach.reached(extract(spark, text), starts, max_hops=1).count() == 5
+
+
+def test_long_chains_keep_short_plans(spark):
+    n = reach.MERGE_ROUNDS + 3
+    methods = " ".join(f'@Mapping(source = "f", target = "f") T{i + 1} m{i}(T{i} x);' for i in range(n))
+    mappings = extract(spark, f"@Mapper interface M {{ {methods} }}")
+    starts = spark.createDataFrame([("T0", "f")], "type string, field string")
+    assert rows(reach.reached(mappings, starts), "hops") == [(i,) for i in sorted(range(n + 1), key=lambda i: repr((i,)))]
