@@ -24,6 +24,7 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 BUCKET_TERMS = 8192
 SLICE_SOURCES = 64
+MERGED = 16  # tasks whose terms are ranked together first
 FRONTIER = 1 << 20  # node pairs of a level gone through at once
 BLOCK = 4 << 20
 ABSENT = -1  # the count of a leaf without a term
@@ -281,10 +282,26 @@ def audit(
     priced_ = cells.applyInArrow(
         lambda rows: _cell(rows, top), "lang string, source string, part string, item string, value long"
     )
-    summed = priced_.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    ranked = summed.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
+    priced_ = written(priced_, "prices")
+    pairs = (
+        priced_.where("part = 'pair'")
+        .groupBy("lang", "source", "part", "item")
+        .agg(F.sum("value").alias("value"))
+        .withColumn("rank", F.row_number().over(_order("lang", "source")))
+    )
+    # A term is in one bucket. Buckets of some tasks are cut together first, so that the last cut of a
+    # source does not grow with the tasks.
+    tasks = (F.spark_partition_id() / MERGED).cast("int")
+    first_cut = _cut(priced_.where("part = 'term'").withColumn("tasks", tasks), top, "lang", "source", "tasks")
+    return pairs.unionByName(_cut(first_cut.drop("tasks", "rank"), top, "lang", "source"))
+
+
+def _order(*keys: str):
+    return Window.partitionBy(*keys).orderBy(F.desc("value"), "item")
+
+
+def _cut(rows: DataFrame, top: int, *keys: str) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(_order(*keys))).where(F.col("rank") <= top)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
