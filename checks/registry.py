@@ -37,7 +37,7 @@ from fieldtrace.plans import (
 )
 from fieldtrace.session import hold, new_path
 from fieldtrace.sources import files, reports, store as st
-from fieldtrace.streaming import answers, ingest as stream
+from fieldtrace.streaming import answers, gathering, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1572,6 +1572,43 @@ def _(spark, sf):
     return spark.read.parquet(out)
 
 
+@check(
+    "answers_by_number",
+    f"""with {_LINES_SQL}, lost as (select * from lin where (question_id * 8 + seq) % 13 <> 5),
+kept as (select * from lost semi join dec using (question_id, seq)),
+ends as (select question_id, min(seq) as last_seq from kept where done group by all),
+whole as (select question_id from lost join ends using (question_id) where seq <= last_seq
+  group by question_id, last_seq having count(*) = last_seq + 1)
+select question_id, coalesce(string_agg(chunk, '' order by seq), '') as answer, count(*) as n_chunks, true as complete
+from kept join ends using (question_id) semi join whole using (question_id) where seq <= last_seq group by question_id""",
+)
+def _(spark, sf):
+    """The last numbers first, over several partitions, with a line of some answers lost on the way."""
+    inbox, out = new_path(spark, "inbox"), new_path(spark, "answers")
+    lines = answer_lines(spark, sf).where((F.col("question_id") * 8 + F.col("seq")) % 13 != 5)
+    bands = [F.col("seq") > 4, F.col("seq").between(2, 4), F.col("seq") < 2]
+    for number, band in enumerate(bands):
+        lines.where(band).repartition(3).write.parquet(f"{inbox}/band={number}")
+    arriving = (
+        spark.readStream.schema("question_id bigint, seq bigint, line string, band int")
+        .option("maxFilesPerTrigger", 3)
+        .parquet(inbox)
+    )
+    chunks = answers.decode_lines(arriving, keep_blank=True)
+    with gathering.keyed_state(spark):
+        query = (
+            gathering.answers_by_number(chunks)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", new_path(spark, "checkpoint"))
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 # === lineage questions =========================================================================
 
 

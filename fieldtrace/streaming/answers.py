@@ -14,24 +14,27 @@ PIECES = 1000  # rows that leave a task together
 LINE_COLUMNS = "question_id bigint, seq bigint, chunk string, done boolean"
 
 
-def decode_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
+def decode_lines(lines: DataFrame, line_col: str = "line", keep_blank: bool = False) -> DataFrame:
     """Adds `chunk` and `done`: JSON lines of both forms, other text as it is; blank lines drop out.
 
-    Works on batch and streaming DataFrames.
+    With `keep_blank` lines without text stay, with a null chunk, so that numbers have no gaps. Works on batch and streaming DataFrames.
     """
     line = F.col(line_col)
     parsed = F.from_json(line, LINE)
     is_object = F.startswith(F.ltrim(line), F.lit("{")) & F.get_json_object(line, "$").isNotNull()
     chunk = F.when(is_object, F.coalesce("__p.response", "__p.message.content")).otherwise(line)
     done = F.when(is_object, F.coalesce("__p.done", F.lit(False))).otherwise(False)
-    return (
-        lines.where(line.rlike(r"\S"))
+    filled = line.rlike(r"\S")
+    if keep_blank:
+        chunk, done = F.when(filled, chunk), F.coalesce(filled & done, F.lit(False))
+    found = (
+        lines.where(F.lit(True) if keep_blank else filled)
         .withColumn("__p", parsed)
         .withColumn("chunk", chunk)
         .withColumn("done", done)
         .drop("__p")
-        .where(F.col("chunk").isNotNull())
     )
+    return found if keep_blank else found.where(F.col("chunk").isNotNull())
 
 
 def _ordered_text(order: str, text: str) -> Column:

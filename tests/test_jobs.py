@@ -1,6 +1,7 @@
 """Questions to answers, and the streams."""
 
 import json
+import os
 
 from conftest import rows
 from java import FLEET, NESTED
@@ -9,7 +10,7 @@ from fieldtrace import fixed
 from fieldtrace.operators import embedding, knn
 from fieldtrace.plans import extraction, ingest, rag, search
 from fieldtrace.sources import store as st
-from fieldtrace.streaming import answers, ingest as stream
+from fieldtrace.streaming import answers, gathering, ingest as stream
 
 
 def embed(df, text_col):
@@ -190,3 +191,40 @@ def test_answer_chunks(spark):
         (1, 0, "a", False, None), (1, 1, "b", False, None), (1, 2, None, True, None), (2, 0, "bad", False, None),
         (2, 1, None, True, "RuntimeError: broke off"), (3, 0, None, True, None),
     ]
+
+
+def test_answers_by_number(spark, tmp_path):
+    """Descending numbers over micro-batches, a gap, a piece twice, pieces after the end and after the answer."""
+    arriving = [
+        [(1, 2, "c", True), (2, 1, "y", True), (3, 5, "late", False), (None, 0, "n", True)],
+        [(1, 1, None, False), (3, 0, "x", True), (2, 3, "beyond", False)],
+        [(1, 0, "a", False), (1, 1, "b", False), (3, 0, "again", True), (2, None, "?", False)],
+    ]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in arriving:
+        spark.createDataFrame(batch, answers.LINE_COLUMNS).repartition(2).write.mode("append").parquet(inbox)
+        chunks = spark.readStream.schema(answers.LINE_COLUMNS).parquet(inbox)
+        with gathering.keyed_state(spark):
+            query = gathering.answers_by_number(chunks).writeStream.format("parquet").option("path", out)
+            query = query.option("checkpointLocation", str(tmp_path / "c")).outputMode("append")
+            query.trigger(availableNow=True).start().awaitTermination()
+    # Question 2 has no number 0, so it is not complete.
+    assert rows(spark.read.parquet(out)) == sorted([(1, "abc", 3, True), (3, "x", 1, True), (None, "n", 1, True)], key=repr)
+
+
+def test_answers_with_a_gap_go_out_after_the_timeout(spark, tmp_path):
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1, 1, "b", True), (2, 0, "x", True)], answers.LINE_COLUMNS).write.parquet(inbox)
+    chunks = spark.readStream.schema(answers.LINE_COLUMNS).parquet(inbox)
+    with gathering.keyed_state(spark):
+        found = gathering.answers_by_number(chunks, timeout_seconds=1, keep_seconds=60)
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+        query = query.outputMode("append").trigger(processingTime="1 second").start()
+        try:
+            for _ in range(40):
+                query.awaitTermination(1)
+                if os.path.isdir(out) and spark.read.schema(gathering.ANSWER).parquet(out).count() == 2:
+                    break
+        finally:
+            query.stop()
+    assert rows(spark.read.parquet(out)) == [(1, "b", 1, False), (2, "x", 1, True)]
