@@ -12,6 +12,7 @@ from checks.tables import (
     CHAIN_TEXT,
     FLOW_ROWS,
     FLOW_TEXT,
+    DOC_PATH,
     JAVA_PATH,
     SCOPE_ROWS,
     SCOPE_TEXT,
@@ -37,7 +38,7 @@ from fieldtrace.plans import (
 )
 from fieldtrace.session import hold, new_path
 from fieldtrace.sources import files, reports, store as st
-from fieldtrace.streaming import answers, gathering, ingest as stream
+from fieldtrace.streaming import answers, changes, gathering, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1499,6 +1500,38 @@ def _(spark, sf):
     )
 
 
+_VERSIONS = (
+    f"src as (select doc_id, {DOC_PATH} as file_path, case when doc_id % 3 = 0 then 'second ' || text else text end "
+    "as content from documents where doc_id % 5 <> 0)"
+)
+
+
+@check(
+    "stream_changes",
+    f"with {_VERSIONS}, {sq.chunk_records()} select id, file_path, chunk_index, "
+    "md5(document) as document_md5 from crec where regexp_matches(document, '[\\p{L}\\p{N}_]')",
+)
+def _(spark, sf):
+    """All files, then changed and unchanged ones again, then deletes; by state, over two runs."""
+    inbox, checkpoint = new_path(spark, "inbox"), new_path(spark, "checkpoint")
+    texts, n = text_sources(spark, sf), F.regexp_extract("file_path", "(\\d+)\\.txt$", 1).cast("long")
+    second = texts.where(n % 3 < 2).withColumn(
+        "content", F.when(n % 3 == 0, F.concat(F.lit("second "), "content")).otherwise(F.col("content"))
+    )
+    gone = texts.where(n % 5 == 0).withColumn("content", F.lit(None).cast("string"))
+    store = st.Store(spark, new_path(spark, "store"))
+    for version, files_in in enumerate([texts, second, gone]):
+        files_in.withColumn("version", F.lit(version)).repartition(3).write.mode("append").parquet(inbox)
+        if version > 0:  # The first two versions come in one run.
+            arriving = (
+                spark.readStream.schema("file_path string, content string, version int")
+                .option("maxFilesPerTrigger", 2)
+                .parquet(inbox)
+            )
+            changes.ingest_changes(arriving, store, hash_embed, checkpoint, version_col="version").awaitTermination()
+    return store.code().select("id", "file_path", "chunk_index", F.md5("document").alias("document_md5"))
+
+
 _LINES_SQL = """lin as (
   select conv_id as question_id, turn as seq,
     case when (conv_id + turn) % 7 = 2 then null else text end as chunk,

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from conftest import rows
 from java import FLEET, NESTED
 
@@ -10,7 +11,7 @@ from fieldtrace import fixed
 from fieldtrace.operators import embedding, knn
 from fieldtrace.plans import extraction, ingest, rag, search
 from fieldtrace.sources import store as st
-from fieldtrace.streaming import answers, gathering, ingest as stream
+from fieldtrace.streaming import answers, changes, gathering, ingest as stream
 
 
 def embed(df, text_col):
@@ -228,3 +229,49 @@ def test_answers_with_a_gap_go_out_after_the_timeout(spark, tmp_path):
         finally:
             query.stop()
     assert rows(spark.read.parquet(out)) == [(1, "b", 1, False), (2, "x", 1, True)]
+
+
+def test_ingest_by_state_reads_no_stored_rows(spark, tmp_path, monkeypatch):
+    store = st.Store(spark, str(tmp_path / "store"))
+    schema, inbox = "file_path string, content string", str(tmp_path / "in")
+
+    def run(*files):
+        spark.createDataFrame(list(files), schema).coalesce(1).write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        query = changes.ingest_changes(arriving, store, embed, str(tmp_path / "c"), with_mappings=True)
+        query.awaitTermination()
+        return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+    for n in range(3):
+        spark.createDataFrame([(f"n{n}{i}.java", f"file {n} {i}") for i in range(4)], schema).coalesce(1).write.mode("append").parquet(inbox)
+    calls, live = [], st.Store.live
+    monkeypatch.setattr(st.Store, "live", lambda self, table: calls.append(table) or live(self, table))
+    java = "class P { T map(S s) { t.setA(s.getB()); return t; } }"
+    # Every micro-batch has its own rows and no more, and none looks into the store.
+    assert run(("a.java", java), ("b.java", "one"), ("x.java", None), (None, "y")) == [4, 4, 4, 4] and calls == []
+    assert run(("a.java", java), ("b.java", "two"), ("n00.java", None), ("n01.java", "  ")) == [4] and calls == []
+    code = {r.file_path: r.document for r in store.code().collect()}
+    assert code["a.java"] == java and code["b.java"] == "two" and len(code) == 12
+    assert [r.file_path for r in store.mappings().collect()] == ["a.java"]
+    assert run(("a.java", "class P {}")) == [1]
+    assert store.mappings().count() == 0 and store.code().where("file_path = 'a.java'").count() == 1
+
+
+def test_a_micro_batch_that_runs_again_adds_nothing(spark, tmp_path):
+    store, schema = st.Store(spark, str(tmp_path / "store")), "file_path string, content string"
+    spark.createDataFrame([("a.java", "one"), ("b.java", "two")], schema).write.parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    whole = st.Store.delete_files
+
+    def breaks_off(self, *args):
+        raise RuntimeError("broke off")
+
+    st.Store.delete_files = breaks_off
+    try:
+        with pytest.raises(Exception, match="broke off"):
+            changes.ingest_changes(arriving, store, embed, str(tmp_path / "c")).awaitTermination()
+    finally:
+        st.Store.delete_files = whole
+    assert store.read(st.CODE).count() == 2
+    changes.ingest_changes(arriving, store, embed, str(tmp_path / "c")).awaitTermination()
+    assert store.read(st.CODE).count() == 2
