@@ -54,8 +54,9 @@ JAVA_TEXT = f"""concat(
  '  public int count(Q q) {{ x.setY(q.getY()); return 1; }}', chr(10),
  '  public D mapNone(Q q) {{ return null; }}', chr(10), '}}', chr(10))"""
 
-# Scopes inside scopes: the whole text stands in a text block, and every assignment after a nested type,
+# Scopes inside scopes, 200 levels of parentheses and 40 of type arguments: the whole text stands in a text block, and every assignment after a nested type,
 # an anonymous class or a lambda belongs to the method around it.
+_DEEP_TYPE = "concat(repeat('List<', 40), 'A', repeat('>', 40))"
 SCOPE_TEXT = f"""concat(
  'package deep;', chr(10), '@Mapper interface N', {_n()}, ' {{', chr(10),
  '  @Mapping(source = "', source, '", target = "', lang, '") T1 one(S1 s);', chr(10),
@@ -68,16 +69,19 @@ SCOPE_TEXT = f"""concat(
  '    class Local {{ int size(int n) {{ return n; }} }}', chr(10),
  '    Note n = new Note(); n.setA(a(b(c(e(f(q.getDeep())))))); ',
  'n.setL(f(x -> {{ int y = 1; return q.getLam(); }})); d.setNote(n);', chr(10),
+ '    if (q.n() < 2 && 3 > q.m()) {{ d.setPit(', repeat('f(x -> {{ return (', 100), 'q.getAbyss()', repeat('); }})', 100), '); }}', chr(10),
  '    d.setHandler(new Handler() {{ public void handle(E e) {{ if (e.ok()) {{ e.end(); }} }} }});', chr(10),
  '    Runnable r = new Runnable() {{ public void run() {{ q.touch("}}"); }} }};', chr(10),
  '    d.setBlock(\"\"\"', chr(10), replace(text, '"', ' '), ' ) {{ ;', chr(10), '\"\"\");', chr(10),
  '    d.setAfter(q.getAfter()); d.last = q.last;', chr(10), '  }}', chr(10),
  '  static class Inner {{ X mapInner(Y y) {{ X x = new X(); x.setIn(y.get', {_CAP}, '()); return x; }} }}', chr(10),
- '  U convertOuter(V v) {{ U u = new U(); u.setOut(v.getOut()); return u; }}', chr(10), '}}')"""
+ '  U convertOuter(V v) {{ U u = new U(); u.setOut(v.getOut()); return u; }}', chr(10),
+ '  ', {_DEEP_TYPE}, ' toList(@Named(value = (((1)))) ', {_DEEP_TYPE}, ' v) {{ u.setIn(v.getIn()); return u; }}', chr(10), '}}')"""
 
 SCOPE_ROWS = f"""
 select {JAVA_PATH} as file_path, v.type, case when v.type = 'mapstruct' then concat('N', {_n()}) end as interface,
- v.method, v.source_type, v.target_type,
+ v.method, case v.source_type when '$deep' then {_DEEP_TYPE} else v.source_type end as source_type,
+ case v.target_type when '$deep' then {_DEEP_TYPE} else v.target_type end as target_type,
  case v.source_field when '$source' then source when '$lang' then lang else v.source_field end as source_field,
  case v.target_field when '$source' then source when '$lang' then lang else v.target_field end as target_field,
  v.implicit
@@ -89,6 +93,8 @@ from documents, (values
  ('pojo', 'mapDeep', 'Q', 'D', 'lam', 'note.l', false),
  ('pojo', 'mapDeep', 'Q', 'D', 'after', 'after', false),
  ('pojo', 'mapDeep', 'Q', 'D', 'last', 'last', false),
+ ('pojo', 'mapDeep', 'Q', 'D', 'abyss', 'pit', false),
+ ('pojo', 'toList', '$deep', '$deep', 'in', 'in', false),
  ('pojo', 'mapInner', 'Y', 'X', '$lang', 'in', false),
  ('pojo', 'convertOuter', 'V', 'U', 'out', 'out', false)
 ) v(type, method, source_type, target_type, source_field, target_field, implicit)"""

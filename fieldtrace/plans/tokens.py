@@ -7,6 +7,8 @@ partitioning: tokens are shuffled once, texts never.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Possessive quantifiers: the matcher then loops instead of recursing, so long literals and long
@@ -20,33 +22,49 @@ COMMENT_OR_LITERAL = (
     rf"(?=[\"'/])(?:({LITERAL})|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/)"
 )
 
-# Regular expressions cannot count, so nesting is spelt out; no code that people write goes as deep.
-DEPTH = 24
+# Regular expressions cannot count. So each bracket of a text gets its level as a mark, and an opening
+# bracket ends at the next closing one with the same mark, however deep what stands between them goes.
+MARKS = r"\x01[0-9]++[\x02-\x05]"
+OPEN = r"\(\x01[0-9]++\x02"
+CLOSE = r"\x01[0-9]++\x03\)"
+BRACKET_SIGNS = {"(": "\x02", ")": "\x03", "<": "\x04", ">": "\x05"}
+# A piece of text up to its next bracket; brackets in literals and the arrow of a lambda are none.
+PIECE = rf"(?:[^()<>\"'\-]++|{LITERAL}|->|[\"'\-])*+(?:[()<>]|$)"
+PIECES_AT_ONCE = 128
 
+_names = (f"b{i}" for i in itertools.count())
 
-def _nested(opening: str, closing: str, plain: str, depth: int = DEPTH) -> str:
-    """Brackets with `plain` parts and further brackets inside."""
-    inner = f"{opening}(?:{plain})*+{closing}"
-    for _ in range(depth):
-        inner = f"{opening}(?:{plain}|{inner})*+{closing}"
-    return inner
 
+def _matched(opening: str, closing: str, inside: str) -> str:
+    """From a marked bracket to the one that closes it; `inside` is what may stand there, marks left out."""
+    name = next(_names)
+    signs = f"\\x0{ord(BRACKET_SIGNS[opening])}", f"\\x0{ord(BRACKET_SIGNS[closing])}"
+    end = rf"\x01\k<{name}>{signs[1]}"
+    first, last = (f"\\{b}" if b in "()" else b for b in (opening, closing))
+    return rf"{first}\x01(?<{name}>[0-9]++){signs[0]}(?:{inside}|(?!{end})\x01)*+{end}{last}"
+
+
+def generic() -> str:
+    """Type arguments, if any. Each use is a pattern of its own, as names of groups must differ."""
+    return f"(?:{_matched('<', '>', r'[^\x01(){};]++')})?+"
+
+
+def arguments() -> str:
+    """Arguments without a semicolon outside of literals."""
+    return _matched("(", ")", rf"[^\x01\"';]++|{LITERAL}")
 
-GENERIC = f"(?:{_nested('<', '>', '[^<>(){};]++', 6)})?+"
-ARGUMENTS = _nested(r"\(", r"\)", rf"[^()\"';]++|{LITERAL}")
-# Arguments of a call may hold whole blocks, as of a lambda or an anonymous class.
-CALL = _nested(r"\(", r"\)", rf"[^()\"']++|{LITERAL}")
 
-MAPPER = rf"@Mapper\b(?:\s*+{ARGUMENTS})?+"
-MAPPING = rf"@Mapping\s*+{ARGUMENTS}"
+MAPPER = rf"@Mapper\b(?:\s*+{arguments()})?+"
+MAPPING = rf"@Mapping\s*+{arguments()}"
 HEADER = r"@?\b(?:class|interface)\s++\w++[^{};\"@()]*+\{"
-GETTER_CALL = r"\.get\w++\s*+\(\s*+\)(?:\s*+\.get\s*+\([^()]*+\))?+"
+GETTER_CALL = rf"\.get\w++\s*+{OPEN}\s*+{CLOSE}(?:\s*+\.get\s*+{OPEN}[^()]*+\))?+"
 # What may follow the first word of a statement or a signature.
-SIGNATURE = rf"{GENERIC}(?:\s*+\[\])*+\s++\w++\s*+{ARGUMENTS}\s*+(?:throws\s[^;{{}}()]*+)?+[;{{]"
-SETTER = rf"\.set\w++\s*+{CALL}"
-ADD = r"\.add\s*+\(\s*+\w++\s*+\)"
-INSTANCE = rf"{GETTER_CALL}\s++instanceof\s++\w++{GENERIC}\s++\w++"
-FIELD = r"\.\w++\s*+=\s*+\w++\.\w++(?:\s*+\(\s*+\))?+"
+SIGNATURE = rf"{generic()}(?:\s*+\[\])*+\s++\w++\s*+{arguments()}\s*+(?:throws\s[^;{{}}()]*+)?+[;{{]"
+# Arguments of a call may hold whole blocks, as of a lambda or an anonymous class.
+SETTER = rf"\.set\w++\s*+{_matched('(', ')', r'[^\x01]++')}"
+ADD = rf"\.add\s*+{OPEN}\s*+\w++\s*+{CLOSE}"
+INSTANCE = rf"{GETTER_CALL}\s++instanceof\s++\w++{generic()}\s++\w++"
+FIELD = rf"\.\w++\s*+=\s*+\w++\.\w++(?:\s*+{OPEN}\s*+{CLOSE})?+"
 LOCAL = rf"\s*+=\s*+\w++{GETTER_CALL}"
 
 STATEMENT = rf"\b\w++(?:{SETTER}|{ADD}|{INSTANCE}|{FIELD}|{LOCAL}|{SIGNATURE})"
@@ -83,6 +101,64 @@ def strip_comments(c) -> Column:
     return F.regexp_replace(c, COMMENT_OR_LITERAL, "$1")
 
 
+def marked(c) -> Column:
+    """The text with the level of each bracket: `f(g(x))` has marks 1, 2, 2, 1.
+
+    Parentheses count from the start of the text. Type arguments hold no parentheses, braces or semicolons,
+    so levels of `<` start anew after those, and a comparison has no effect on what follows it. A closing
+    bracket without an opening one has no mark. The signs of marks (U+0001 to U+0005) are dropped from the
+    text first. Levels are summed up in blocks of pieces, so that long texts cost in proportion.
+    """
+    def step(acc: Column, piece: Column) -> Column:
+        end = F.substring(piece, -1, 1)
+        p, a = acc["p"], F.when(piece.rlike("[{};]"), 0).otherwise(acc["a"])
+        level = F.when(end == "(", p + 1).when(end == ")", p).when(end == "<", a + 1).when(end == ">", a)
+        sign = F.translate(end, "".join(BRACKET_SIGNS), "".join(BRACKET_SIGNS.values()))
+        mark = F.concat(F.lit("\x01"), level.cast("string"), sign)
+        body = F.substring(piece, F.lit(1), F.char_length(piece) - 1)
+        return F.struct(
+            F.when(end == "(", p + 1).when((end == ")") & (p > 0), p - 1).otherwise(p).alias("p"),
+            F.when(end == "<", a + 1).when((end == ">") & (a > 0), a - 1).when(end.isin("(", ")"), 0).otherwise(a)
+            .alias("a"),
+            F.concat(
+                acc["text"],
+                F.when(level > 0, F.when(end.isin("(", "<"), F.concat(piece, mark)).otherwise(F.concat(body, mark, end)))
+                .otherwise(piece),
+            ).alias("text"),
+        )
+
+    def of_all(pieces: Column) -> Column:
+        def block(acc: Column, i: Column) -> Column:
+            start = F.struct(acc["p"].alias("p"), acc["a"].alias("a"), F.lit("").alias("text"))
+            some = F.slice(pieces, i * PIECES_AT_ONCE + 1, F.lit(PIECES_AT_ONCE))
+            return _with(
+                F.aggregate(some, start, step),
+                lambda end: F.struct(
+                    end["p"].alias("p"),
+                    end["a"].alias("a"),
+                    F.concat(acc["texts"], F.array(end["text"])).alias("texts"),
+                ),
+            )
+
+        none = F.struct(
+            F.lit(0).alias("p"), F.lit(0).alias("a"), F.array().cast("array<string>").alias("texts")
+        )
+        blocks = F.sequence(F.lit(0), F.floor(F.size(pieces) / PIECES_AT_ONCE).cast("int"))
+        return F.aggregate(blocks, none, block, lambda acc: F.array_join(acc["texts"], ""))
+
+    bare = F.translate(c, "\x01\x02\x03\x04\x05", "")
+    return _with(F.regexp_extract_all(bare, F.lit(PIECE), F.lit(0)), of_all)
+
+
+def _with(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def unmarked(c) -> Column:
+    return F.regexp_replace(c, MARKS, "")
+
+
 def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "content") -> DataFrame:
     """`(file_path, pos, kind, token)`; `file_path` must be unique in `sources`.
 
@@ -90,11 +166,12 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
     one), setter, add, field, local, instance; open and close are braces of all other blocks.
     """
     # Unicode classes are slow, and make no difference to plain ASCII.
-    code = F.col("__code")
-    plain = F.octet_length(code) == F.char_length(code)
-    found = F.when(plain, F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0))).otherwise(
-        F.regexp_extract_all(code, F.lit(UNICODE + TOKEN), F.lit(0))
-    )
+    def found(code: Column) -> Column:
+        plain = F.octet_length(code) == F.char_length(code)
+        return F.when(plain, F.regexp_extract_all(code, F.lit(TOKEN), F.lit(0))).otherwise(
+            F.regexp_extract_all(code, F.lit(UNICODE + TOKEN), F.lit(0))
+        )
+
     token = F.col("token")
     words = "|".join(STATEMENT_WORDS)
     # Cheap tests decide which tokens stay, as a filter on `kind` would work it out twice.
@@ -124,7 +201,7 @@ def tokens(sources: DataFrame, path_col: str = "file_path", text_col: str = "con
     )
     return (
         sources.select(F.col(path_col).alias("file_path"), strip_comments(F.col(text_col)).alias("__code"))
-        .select("file_path", F.posexplode(found).alias("pos", "token"))
+        .select("file_path", F.posexplode(F.transform(_with(marked("__code"), found), unmarked)).alias("pos", "token"))
         .where(~other | opens)
         .select("file_path", "pos", kind.alias("kind"), "token")
     )
@@ -143,7 +220,7 @@ def signature_parts(token="token") -> list[Column]:
         F.regexp_extract(token, r"(?s)\((.*)\)\s*+(?:throws\s[^;{}()]*+)?+[;{]$", 1)
     )
     return [
-        _part(token, rf"^(\w++{GENERIC}(?:\s*+\[\])*+)").alias("return_type"),
+        _part(token, r"^([^(]*?)\s++\w++\s*+\(").alias("return_type"),
         _part(token, r"(\w++)\s*+\(").alias("method"),
         params.alias("params"),
         parameters(params).alias("args"),
@@ -155,15 +232,16 @@ def parameters(params) -> Column:
 
     Commas inside `<...>` do not part parameters.
     """
-    plain = F.regexp_replace(
-        params, UNICODE + rf"@\w++(?:\.\w++)*+(?:\s*+{ARGUMENTS})?+\s*+|\bfinal\s++", ""
-    )
-    one = rf"(\w++(?:\.\w++)*+{GENERIC}(?:\s*+\[\]|\s*+\.\.\.)*+)\s*+\b(\w++)"
+    text = F.when(params.rlike("[(<]"), marked(params)).otherwise(params)
+    annotation = rf"@\w++(?:\.\w++)*+(?:\s*+{arguments()})?+\s*+|\bfinal\s++"
+    one = rf"(\w++(?:\.\w++)*+{generic()}(?:\s*+\[\]|\s*+\.\.\.)*+)\s*+\b(\w++)"
     return F.transform(
-        F.regexp_extract_all(plain, F.lit(UNICODE + one), F.lit(0)),
+        F.regexp_extract_all(
+            F.regexp_replace(text, UNICODE + annotation, ""), F.lit(UNICODE + one), F.lit(0)
+        ),
         lambda p: F.struct(
-            F.regexp_extract(p, UNICODE + one, 1).alias("type"),
-            F.regexp_extract(p, UNICODE + one, 2).alias("name"),
+            unmarked(F.regexp_extract(p, UNICODE + one, 1)).alias("type"),
+            F.regexp_extract(p, UNICODE + one, 3).alias("name"),  # group 2 is the mark
         ),
     )
 

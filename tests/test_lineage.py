@@ -225,3 +225,25 @@ def test_long_chains_keep_short_plans(spark):
     mappings = extract(spark, f"@Mapper interface M {{ {methods} }}")
     starts = spark.createDataFrame([("T0", "f")], "type string, field string")
     assert rows(reach.reached(mappings, starts), "hops") == [(i,) for i in sorted(range(n + 1), key=lambda i: repr((i,)))]
+
+
+def test_brackets_of_any_depth(spark):
+    deep, types = "f(" * 500 + "s.getA()" + ")" * 500, "List<" * 60 + "X" + ">" * 60
+    text = f"""@Mapper interface M {{ T one(Map<K, {types}> in, U u); }}
+    class P {{ {types} mapX(@Named(a = {"(" * 40}1{")" * 40}) {types} s) {{
+      if (1 < n && m > 2) {{ t.setA({deep}); }} t.setB(s.getB()); t.setOpen(((s.getO()); }} }}"""
+    got = found(spark, text, "source_type", "target_type", "source_field", "expression")
+    assert got == sorted(
+        [(f"Map<K, {types}>", "T", None, None), (types, types, "a", deep), (types, types, "b", None)], key=repr
+    )
+
+
+def test_marks(spark):
+    texts = ["f(g(x))", "a < b; List<Map<K, V>> v", ")(", "", "x -> y(\"(\")", "\x01(\x02)", "(" * 1000 + ")" * 1000]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = [r[0] for r in df.select(tk.marked("t")).collect()]
+    assert got[0] == "f(\x011\x02g(\x012\x02x\x012\x03)\x011\x03)"
+    assert got[1] == "a <\x011\x04 b; List<\x011\x04Map<\x012\x04K, V\x012\x05>\x011\x05> v"
+    assert got[2:6] == [")(\x011\x02", "", 'x -> y(\x011\x02"("\x011\x03)', "(\x011\x02\x011\x03)"]
+    assert got[6].endswith("\x012\x03)\x011\x03)") and "(\x011000\x02\x011000\x03)" in got[6] and got[7] is None
+    assert [r[0] for r in df.select(tk.unmarked(tk.marked("t"))).collect()][:5] == texts[:5]
