@@ -38,7 +38,7 @@ from fieldtrace.plans import (
 )
 from fieldtrace.session import hold, new_path
 from fieldtrace.sources import files, reports, store as st
-from fieldtrace.streaming import answers, changes, gathering, ingest as stream
+from fieldtrace.streaming import answer_log, answers, changes, gathering, ingest as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1553,6 +1553,27 @@ select question_id, string_agg(chunk, '' order by seq) as answer, count(*) as n_
   bool_or(done) as complete from cut where last_seq is null or seq <= last_seq group by question_id"""
 
 
+@check("answer_log", f"with {_LINES_SQL} select question_id, seq, chunk, done from dec")
+def _(spark, sf):
+    """Two runs of one stream: the second reads the logs that came after the first, and no line again."""
+    logs, out, checkpoint = (new_path(spark, n) for n in ("logs", "pieces", "checkpoint"))
+    for late in (False, True):
+        lines = answer_lines(spark, sf).where((F.col("seq") > 2) == F.lit(late))
+        log = lines.select(F.to_json(F.struct("question_id", "seq", "line")))
+        log.repartition(3).write.mode("append").text(logs)
+        query = (
+            answers.decode_lines(answer_log.pieces(answer_log.log_lines(spark, logs, split_bytes=1 << 20)))
+            .drop("line")
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 @check("concat_until_done", _UNTIL_DONE)
 def _(spark, sf):
     return answers.concat_until_done(answers.decode_lines(answer_lines(spark, sf)), slice_rows=3)

@@ -6,12 +6,13 @@ import os
 import pytest
 from conftest import rows
 from java import FLEET, NESTED
+from pyspark.sql import functions as F
 
 from fieldtrace import fixed
 from fieldtrace.operators import embedding, knn
 from fieldtrace.plans import extraction, ingest, rag, search
 from fieldtrace.sources import store as st
-from fieldtrace.streaming import answers, changes, gathering, ingest as stream
+from fieldtrace.streaming import answer_log, answers, changes, gathering, ingest as stream
 
 
 def embed(df, text_col):
@@ -275,3 +276,64 @@ def test_a_micro_batch_that_runs_again_adds_nothing(spark, tmp_path):
     assert store.read(st.CODE).count() == 2
     changes.ingest_changes(arriving, store, embed, str(tmp_path / "c")).awaitTermination()
     assert store.read(st.CODE).count() == 2
+
+
+def test_log_ranges(tmp_path):
+    """Ranges of any size give each line once, with its place."""
+    data = "a\n\nlong line é\r\n".encode() + b"\xff\n" + b"x" * 200_000 + b"\nunfinished"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "one.log").write_bytes(data)
+    (tmp_path / "_temporary").write_bytes(b"no\n")
+    (tmp_path / "empty").write_bytes(b"")
+    (tmp_path / "open").write_bytes(b"y" * 100_000)
+    want = [(0, "a"), (2, ""), (3, "long line é"), (17, "\ufffd"), (19, "x" * 200_000)]
+    for split in (1, 2, 3, 7, 50_000, 1 << 20):
+        logs = answer_log.Logs({"path": str(tmp_path), "splitbytes": str(split)})
+        end = logs.ends()
+        assert end == {"d/one.log": 200_020}
+        parts = logs.ranges({}, end) if split > 1 else logs.ranges({}, end)[:100]
+        got = [(r["at"], r["line"]) for p in parts for b in logs.read(p) for r in b.to_pylist()]
+        assert got == want
+        assert logs.ranges(end, end) == []
+        again = [r["at"] for p in logs.ranges({"d/one.log": 3}, end)[:100] for b in logs.read(p) for r in b.to_pylist()]
+        assert again == [3, 17, 19]
+    with pytest.raises(ValueError, match="shorter"):
+        logs.ranges({"d/one.log": 300_000}, end)
+
+
+def test_log_stream_goes_on_where_it_ended(spark, tmp_path):
+    """Logs grow, one in the middle of a line, and a run breaks off: no line is lost or comes twice."""
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+
+    def run(fails=False):
+        seen = answer_log.log_lines(spark, str(logs), split_bytes=5)
+        if fails:
+            seen = seen.withColumn("line", F.when(F.col("line") == "b2", F.raise_error(F.lit("broke off"))).otherwise(F.col("line")))
+        query = seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    logs.mkdir()
+    run()
+    (logs / "a.log").write_text("a1\na2\na3 is")
+    run()
+    assert rows(spark.read.parquet(out), "line") == [("a1",), ("a2",)]
+    with open(logs / "a.log", "a") as log:
+        log.write(" long\na4\n")
+    (logs / "b.log").write_text("b1\nb2\n")
+    with pytest.raises(Exception, match="broke off"):
+        run(fails=True)
+    with open(logs / "b.log", "a") as log:
+        log.write("b3\n")
+    run()
+    run()
+    want = [("a.log", 0, "a1"), ("a.log", 3, "a2"), ("a.log", 6, "a3 is long"), ("a.log", 17, "a4"),
+            ("b.log", 0, "b1"), ("b.log", 3, "b2"), ("b.log", 6, "b3")]
+    want = sorted(want, key=repr)
+    assert rows(spark.read.parquet(out), "file", "at", "line") == want
+    assert rows(answer_log.log_lines(spark, str(logs), streaming=False), "file", "at", "line") == want
+
+
+def test_log_pieces(spark):
+    lines = ['{"question_id": 1, "seq": 0, "line": "x"}', '{"question_id": 1, "seq": 1}', '{"seq": 2}', "{cut", "", None]
+    df = spark.createDataFrame([(t,) for t in lines], "line string")
+    assert rows(answer_log.pieces(df)) == [(1, 0, "x"), (1, 1, None)]
