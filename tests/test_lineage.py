@@ -3,6 +3,7 @@
 import pytest
 from conftest import rows
 from java import FLEET, FLEET_ROWS, NESTED, NESTED_ROWS
+from pyspark.sql import functions as F
 
 from fieldtrace.plans import entries as en, lineage, questions, reach, tokens as tk
 from fieldtrace.sources.files import inline_source
@@ -166,6 +167,18 @@ def test_one_shuffle(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_tasks_follow_the_texts(spark, monkeypatch):
+    """A task of the windows gets a bounded part of the texts, whatever the number of partitions is set to."""
+    monkeypatch.setattr(tk, "TASK_BYTES", 1 << 14, raising=False)
+    one = "@Mapper interface M { @Mapping(source = \"a\", target = \"b\") T one(S s); } " + "{ }" * 100
+    texts = spark.range(40).selectExpr("concat('f', id, '.java') as file_path", f"'{one}' as content")
+    found = lineage.field_mappings(texts)
+    tasks = found.withColumn("task", F.spark_partition_id())
+    assert found.count() == 40 and found.select("file_path").distinct().count() == 40
+    # 40 files of some 55 KB each in rows: more than the 4 partitions of the session.
+    assert tasks.select("task").distinct().count() > 8
+
+
 def test_questions(spark):
     mappings = extract(spark, FLEET)
     source = inline_source(spark, FLEET, "a.java")
