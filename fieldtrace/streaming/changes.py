@@ -112,12 +112,14 @@ def ingest_changes(
         records = {st.CODE: chunking.code_records(usable)}
         if with_mappings:
             entries = en.entries(hold(lineage.field_mappings(usable)))
-            records[st.MAPPINGS] = hold(st.batch_records(entries, usable))
+            records[st.MAPPINGS] = hold(st.batch_records(entries))
         old = changes.where(F.col("change") != NEW).select("file_path")
         for table, rows in records.items():
             if replayed:
                 there = store.read(table).where(F.col("batch_id") == batch_id).select("id")
                 rows = rows.join(there, "id", "left_anti")
+            if table == st.MAPPINGS:
+                rows = st.with_code(rows, usable)
             store.append(table, embedded_only(embed(rows, "document")), batch_id)
             # Deletes come after, up to the batch before: a run that breaks off leaves files doubled, never
             # missing, and the next one deletes again.

@@ -155,3 +155,17 @@ def test_reports(spark, tmp_path):
     text = en.text_report(source, en.entries(lineage.field_mappings(source)))
     reports.write_text(text, str(tmp_path / "text"))
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "File: a.java"
+
+
+def test_code_of_mappings_is_not_held(spark, tmp_path, monkeypatch):
+    """Each mapping's text has its file's whole code, but only in the table."""
+    maps = " ".join(f'@Mapping(source = "a", target = "b{i}") T{i} m{i}(S s);' for i in range(20))
+    code = f"@Mapper interface M {{ {maps} }} /* {'x' * 50_000} */"
+    real, held = st.hold, []
+    monkeypatch.setattr(st, "hold", lambda df: held.append(real(df)) or held[-1])
+    store = st.Store(spark, str(tmp_path / "s"))
+    ingest.ingest(store, files.inline_source(spark, code, "a.java"), embedding.hash_embed, with_mappings=True)
+    longest = [df.selectExpr("max(length(document))").first()[0] for df in held if "document" in df.columns]
+    assert longest and max(longest) < 1000
+    stored = [r.document for r in store.mappings().select("document").collect()]
+    assert len(stored) == 20 and all(d.endswith("\nCode:\n" + code) for d in stored)
