@@ -22,7 +22,7 @@ from fieldtrace import fixed
 from fieldtrace.operators.knn import (
     DIGITS,
     METRICS,
-    SCAN_QUERY_BYTES,
+    _Nearest,
     _matrix,
     _ranked,
     _unit,
@@ -37,6 +37,9 @@ CODE_BYTES = 32  # parts a residual is cut into, one byte each
 ROUNDS = 12  # of k-means
 SLACK = 2 * 10.0**-DIGITS  # distances are rounded before they are compared
 BLOCK_ROWS = 4096
+ASK_ROWS = 1024  # queries that meet a block at once
+PAIRS = 1 << 15  # vectors that are compared at once
+ASK_BYTES = 4 << 20  # of queries that go through the driver at once, it has them several times
 
 
 # === fitting ===================================================================================
@@ -219,7 +222,7 @@ class Index:
         exact: bool = True,
         query_id_col: str = "query_id",
         query_vector_col: str = "embedding",
-        scan_bytes: int = SCAN_QUERY_BYTES,
+        scan_bytes: int = ASK_BYTES,
     ) -> DataFrame:
         """`(query_id, id, distance, rank)` of the `k` nearest rows, ties by id.
 
@@ -227,12 +230,11 @@ class Index:
         provably farther, so no neighbour is missed; otherwise those of other partitions are. Queries
         beyond `scan_bytes` are asked in slices.
         """
-        candidates = self.candidates(queries, k, probes, exact, query_id_col, query_vector_col, scan_bytes)
         found = None
-        for asked, wanted in candidates:
-            part = self._measured(asked, wanted)
-            found = part if found is None else found.unionByName(part)
-        return _ranked(found, k)
+        for asked, limits in self._asked(queries, k, probes, exact, query_id_col, query_vector_col, scan_bytes):
+            hits = self._measured(*limits, k).join(small(asked.select("q", "query_id")), "q").drop("q")
+            found = hits if found is None else found.unionByName(hits)
+        return _ranked(found.select("query_id", "id", "distance"), k)
 
     def candidates(
         self,
@@ -242,18 +244,24 @@ class Index:
         exact: bool = True,
         query_id_col: str = "query_id",
         query_vector_col: str = "embedding",
-        scan_bytes: int = SCAN_QUERY_BYTES,
+        scan_bytes: int = ASK_BYTES,
     ) -> list[tuple[DataFrame, DataFrame]]:
         """Per slice of queries `(q, query_id, embedding)` and `(q, part, id)`: whose vectors have to be read."""
+        sliced = self._asked(queries, k, probes, exact, query_id_col, query_vector_col, scan_bytes)
+        return [(asked, self._scan(*limits, k)) for asked, limits in sliced]
+
+    def _asked(self, queries, k, probes, exact, query_id_col, query_vector_col, scan_bytes) -> Iterator[tuple]:
+        """Per slice of queries `(q, query_id, embedding)`: what goes to the tasks, partitions, limits."""
         check_k(k)
         asked = _vectors(queries, query_id_col, query_vector_col, "query_id")
         asked = hold(asked.withColumn("q", F.monotonically_increasing_id()))
         n = asked.count()
         slices = max(1, -(-n * self.model.centroids.shape[1] * 8 // scan_bytes))
-        sliced = [asked.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == i) for i in range(slices)]
-        return [(part, self._wanted(part, k, probes, exact)) for part in sliced]
+        for i in range(slices):
+            part = asked.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == i)
+            yield part, self._limits(part, k, probes, exact)
 
-    def _wanted(self, asked: DataFrame, k: int, probes: int, exact: bool) -> DataFrame:
+    def _limits(self, asked: DataFrame, k: int, probes: int, exact: bool) -> tuple:
         model, table = self.model, asked.select("q", "embedding").toArrow()  # up to `scan_bytes`
         numbers = table["q"].combine_chunks().to_numpy(zero_copy_only=False)
         vectors = model.placed(table["embedding"].combine_chunks())
@@ -282,7 +290,7 @@ class Index:
         if exact:
             lower = np.maximum(away - radius, 0) * (1 - 1e-9)
             near = np.isfinite(away) & (self.model.measure(lower) <= self.model.measure(limit)[:, None] + SLACK)
-        return self._scan(sent, near, limit, k)
+        return sent, near, limit
 
     def _scan(self, sent, near: np.ndarray, limit: np.ndarray | None, k: int) -> DataFrame:
         """One pass over the codes of the partitions that `near` (queries x partitions) names.
@@ -294,19 +302,7 @@ class Index:
         codes = self._table("codes").where(F.col("part").isin(parts)).select("part", "id", "code", "error")
         id_type = codes.schema["id"].dataType
 
-        def bounds(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-            vectors = sent.value[1]
-            part = batch.column(0).to_numpy(zero_copy_only=False)
-            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
-            error = batch.column(3).to_numpy(zero_copy_only=False)
-            for p in np.unique(part):
-                rows, asks = np.flatnonzero(part == p), np.flatnonzero(near[:, p])
-                x = model.rebuilt(part[rows], code[rows])
-                for start in range(0, len(asks), BLOCK_ROWS):
-                    ask = asks[start : start + BLOCK_ROWS]
-                    v = vectors[ask]
-                    square = (v * v).sum(1)[:, None] + (x * x).sum(1) - 2 * v @ x.T
-                    yield ask, rows, np.sqrt(np.maximum(square, 0)), error[rows]
+        bounds = self._bounds(sent, near)
 
         def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             numbers = sent.value[0]
@@ -338,22 +334,74 @@ class Index:
         fields = [T.StructField("q", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("id", id_type)]
         return codes.mapInArrow(within, T.StructType(fields))
 
-    def _measured(self, asked: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Exact distances of the wanted rows. Few are sent to the vectors, many meet them by a shuffle."""
-        wanted = hold(wanted)
-        parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # at most all partitions
-        vectors = self._table("vectors").where(F.col("part").isin(parts))
-        rows = vectors.join(small(wanted), ["part", "id"]).select("q", "id", F.col("embedding").alias("x"))
-        both = rows.join(small(asked), "q").select("query_id", "id", "x", "embedding")
-        return both.select("query_id", "id", self._distance()("embedding", "x").alias("distance"))
-
-    def _distance(self):
+    def _bounds(self, sent, near: np.ndarray):
+        """Of a batch `part, id, code, error`: per partition the queries, the rows, and the distances and
+        errors of what the codes say."""
         model = self.model
 
-        @F.arrow_udf(T.DoubleType())
-        def distance(queries: pa.Array, rows: pa.Array) -> pa.Array:
-            q, x = model.placed(queries), model.placed(rows)
-            found = 1 - (q * x).sum(1) if model.metric == "cosine" else ((q - x) ** 2).sum(1)
-            return pa.array(np.round(found, DIGITS) + 0.0)
+        def bounds(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+            vectors = sent.value[1]
+            part = batch.column(0).to_numpy(zero_copy_only=False)
+            code = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(part), -1)
+            error = batch.column(3).to_numpy(zero_copy_only=False)
+            for p in np.unique(part):
+                rows, asks = np.flatnonzero(part == p), np.flatnonzero(near[:, p])
+                x = model.rebuilt(part[rows], code[rows])
+                for start in range(0, len(asks), ASK_ROWS):
+                    ask = asks[start : start + ASK_ROWS]
+                    v = vectors[ask]
+                    square = (v * v).sum(1)[:, None] + (x * x).sum(1) - 2 * v @ x.T
+                    yield ask, rows, np.sqrt(np.maximum(square, 0)), error[rows]
+
+        return bounds
+
+    def _measured(self, sent, near: np.ndarray, limit: np.ndarray, k: int) -> DataFrame:
+        """`(q, id, distance)`: the `k` nearest rows of every query and task, by exact distances.
 
-        return distance
+        Codes meet their vectors by a join as long as the table; pairs of queries and rows are gone through
+        in the tasks and never become rows.
+        """
+        model, measure, bounds = self.model, self.model.measure, self._bounds(sent, near)
+        parts = np.flatnonzero(near.any(axis=0)).tolist()
+        codes = self._table("codes").where(F.col("part").isin(parts))
+        vectors = self._table("vectors").where(F.col("part").isin(parts))
+        rows = codes.join(vectors, ["part", "id"]).select("part", "id", "code", "error", "embedding")
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, asked = sent.value
+            best = _Nearest(pa.array(numbers), asked, k, "l2sq")
+            for whole in batches:
+                for at in range(0, len(whole), BLOCK_ROWS):
+                    batch = whole.slice(at, BLOCK_ROWS)
+                    placed, ids = model.placed(batch.column(4)), batch.column(1)
+                    for ask, rows, d, error in bounds(batch):
+                        lower = measure(np.maximum(d - error, 0) * (1 - 1e-9))
+                        within = np.minimum(measure(limit[ask]), best.bound[ask]) + SLACK
+                        i, j = np.nonzero(lower <= within[:, None])
+                        for start in range(0, len(i), PAIRS):
+                            some = slice(start, start + PAIRS)
+                            q, x = ask[i[some]], rows[j[some]]
+                            if model.metric == "cosine":
+                                exact = 1 - np.einsum("ij,ij->i", asked[q], placed[x])
+                            else:
+                                exact = ((asked[q] - placed[x]) ** 2).sum(1)
+                            exact = np.round(exact, DIGITS) + 0.0
+                            kept = np.flatnonzero(exact <= best.bound[q])
+                            found = pa.table(
+                                {
+                                    "q": pa.array(q[kept], pa.int64()),
+                                    "distance": pa.array(exact[kept]),
+                                    "id": ids.take(pa.array(x[kept])),
+                                }
+                            )
+                            best.best = best._cut(found if best.best is None else pa.concat_tables([best.best, found]))
+            result = best.result()
+            if result is not None:
+                yield from result.rename_columns(["q", "id", "distance"]).to_batches()
+
+        fields = [
+            T.StructField("q", T.LongType()),
+            T.StructField("id", rows.schema["id"].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+        return rows.mapInArrow(nearest, T.StructType(fields))

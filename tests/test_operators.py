@@ -251,6 +251,19 @@ def test_index_is_exact(spark, vectors, metric, tmp_path):
     assert again.search(asked.limit(0), 6).count() == 0
 
 
+def test_index_keeps_no_pairs(spark, vectors, monkeypatch, tmp_path):
+    """Pairs of queries and rows never become rows: tasks pass on `k` rows of each query at most."""
+    table = spark.createDataFrame(vectors, "id string, embedding array<float>").repartition(2)
+    asked = table.withColumnRenamed("id", "query_id")
+    made = index.train(table, str(tmp_path / "index"), partitions=4, code_bytes=2)
+    made.add(table)
+    real, held = index.hold, []
+    monkeypatch.setattr(index, "hold", lambda df: held.append(df) or real(df))
+    got = made.search(asked, 3)
+    assert rows(got) == rows(knn.nearest(table, asked, 3), *got.columns)
+    assert [df.columns for df in held] == [["query_id", "embedding", "q"]]
+
+
 def test_nearest_bounds(spark, vectors):
     table = spark.createDataFrame(vectors, "id string, embedding array<float>")
     asked = table.limit(0).withColumnRenamed("id", "query_id")
