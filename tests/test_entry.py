@@ -19,6 +19,17 @@ def test_contract(spark):
     assert set(oracles) <= set(queries) and len(queries) >= 80
 
 
+def test_mappings_are_extracted_once(spark):
+    """Doubling the mappings adds neither a second extraction nor a shuffle."""
+
+    def nodes(name):
+        found = entry.queries()[name](spark, SMALL)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange"), plan.count("Window [")
+
+    assert nodes("mapping_dedup") == nodes("field_mappings")
+
+
 @pytest.mark.parametrize("name", QUICK)
 def test_query(spark, name):
     assert compare.compare(spark, compare.duck(SMALL), name, SMALL) == ""
