@@ -27,6 +27,7 @@ from fieldtrace.llm.spellings import Spellings
 FIRST = 0x100  # byte b is the character FIRST + b
 UNKNOWN = "unknown"  # a piece that has to be there; no spelling holds its characters
 DECODED_IDS = 1 << 20  # decoded at once
+TEXT_BYTES = 1 << 20  # of texts encoded together
 
 
 # === the model =================================================================================
@@ -245,7 +246,7 @@ def encode(
     def make(texts: list[bytes]) -> dict[str, pa.Array]:
         return {ids_col: _coder(ranks, pattern).encode(texts)}
 
-    return add_columns(docs, text_col, make, f"`{ids_col}` array<int>")
+    return add_columns(docs, text_col, make, f"`{ids_col}` array<int>", TEXT_BYTES)
 
 
 def decode(

@@ -17,8 +17,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-# Texts that a Python task works on at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+# Texts that a Python task works on at once; a longer text is a block of its own. Arrays over the bytes of
+# a block take up to a hundred times its size, and a worker keeps what it once took.
+BLOCK_BYTES = 1 << 18
 
 Block = tuple[pa.Table, list[bytes]]
 

@@ -1,19 +1,36 @@
 """The pipeline stage by stage against brute force, and the registered queries against their SQL."""
 
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as cp
 import odd
 from checks import compare
-from fieldtrace.llm import registry, sentencepiece_viterbi
+from fieldtrace.llm import common, line_dedup, quality_net, registry, sentencepiece_viterbi, shingles
 from test_line_dedup import brute as lines_brute
 from test_near_dup import brute as near_brute
 
 SMALL = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize(
+    "work",
+    [quality_net.Net.new().scores, lambda t: line_dedup.Lines(t, 40), lambda t: shingles.shingle_sets(t, 5)],
+)
+def test_memory_of_a_block(work):
+    """What a Python worker takes beside the batch is bounded, as two of them share an executor with its heap."""
+    batch = pa.record_batch({"text": ["some words of a text\nand a line " * 100] * 700})
+    tracemalloc.start()
+    for _, texts in common.blocks(iter([batch]), "text"):
+        work(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """Documents before, between and after all stages."""
