@@ -111,7 +111,7 @@ def ingest_changes(
         usable = changes.where((F.col("change") != GONE) & tx.not_blank("content")).select("file_path", "content")
         records = {st.CODE: chunking.code_records(usable)}
         if with_mappings:
-            entries = en.entries(hold(lineage.field_mappings(usable)))
+            entries = hold(en.entries(lineage.field_mappings(usable)))
             records[st.MAPPINGS] = hold(st.batch_records(entries))
         old = changes.where(F.col("change") != NEW).select("file_path")
         for table, rows in records.items():

@@ -30,6 +30,22 @@ def test_mappings_are_extracted_once(spark):
     assert nodes("mapping_dedup") == nodes("field_mappings")
 
 
+def test_entries_stay_in_their_tasks(spark):
+    """Entries are grouped in the tasks of the extraction: neither held mappings nor a shuffle between."""
+
+    def plan(name):
+        return entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+    def nodes(name):
+        return plan(name).count("Exchange"), plan(name).count("Window [")
+
+    whole = nodes("field_mappings")
+    for name in ("mapping_entries", "fields_per_mapping", "mapping_id", "mapping_context", "mapping_grouped"):
+        assert nodes(name) == whole, name
+    for name in ("describe_prompt", "mapping_document", "mapping_summary", "report_text"):
+        assert nodes(name)[1] == whole[1], name
+
+
 @pytest.mark.parametrize("name", QUICK)
 def test_query(spark, name):
     assert compare.compare(spark, compare.duck(SMALL), name, SMALL) == ""
