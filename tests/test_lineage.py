@@ -260,3 +260,20 @@ def test_marks(spark):
     assert got[2:6] == [")(\x011\x02", "", 'x -> y(\x011\x02"("\x011\x03)', "(\x011\x02\x011\x03)"]
     assert got[6].endswith("\x012\x03)\x011\x03)") and "(\x011000\x02\x011000\x03)" in got[6] and got[7] is None
     assert [r[0] for r in df.select(tk.unmarked(tk.marked("t"))).collect()][:5] == texts[:5]
+
+
+def test_scopes_cost_no_windows(spark):
+    """Scopes come from one pass over the kinds of a file's tokens; only values and places of variables are windows."""
+    plan = extract(spark, FLEET)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 3
+
+
+def test_scopes_of_broken_texts():
+    """Braces that open nothing or close nothing; a type that closed is still the last one of its level."""
+    kinds = ["close", "mapper", "interface", "mapping", tk.AIMED, "declared", "close", "open", "body", "setter"]
+    assert tk.scopes(kinds) == [
+        (1, None, None, False, False, None), (2, 2, None, True, False, 6), (3, 2, 5, True, False, 6),
+        (4, 2, 5, True, False, 6), (5, 2, 5, True, True, 6), (8, None, 8, False, False, None),
+        (9, None, 8, False, False, None),
+    ]
+    assert tk.scopes([]) == []
