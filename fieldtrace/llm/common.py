@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from fieldtrace.session import new_path
+from fieldtrace.session import filesystem, passing_path
 
 # The white space of the contracts; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]"
@@ -131,28 +130,9 @@ def ragged(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
 # === files that tasks write and read ===========================================================
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a path or URI in the shared folder, and the path in it."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
-
-
-def _passing(spark: SparkSession, name: str) -> str:
-    """A new path in the shared work folder, which goes when the session's JVM ends."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, name))
-    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    # A path without a scheme is one of the default file system, here as in Spark's own writers.
-    where = system.makeQualified(where)
-    system.deleteOnExit(where)
-    return where.toString()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared work folder, kept until the session's JVM ends."""
-    path = _passing(spark, name)
+    path = passing_path(spark, name)
     system, inner = filesystem(path)
     system.create_dir(inner, recursive=True)
     return path
@@ -160,14 +140,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared work folder, read back: computed once, lineage cut."""
-    path = _passing(df.sparkSession, name)
+    path = passing_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written_files(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
     """As `written`, with the table's files, for tasks that read them by themselves."""
-    path = _passing(df.sparkSession, name)
+    path = passing_path(df.sparkSession, name)
     df.write.parquet(path)
     where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     found = where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).listStatus(where)

@@ -11,21 +11,26 @@ those are shuffled to the final ranking.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldtrace import fixed
 from fieldtrace.operators.embedding import embedded_only
-from fieldtrace.session import hold
+from fieldtrace.session import filesystem, hold, passing_path
 
 METRICS = ("cosine", "l2sq")
 DIGITS = 6
 SCAN_QUERY_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 22
 SLICE_ROWS = 16384
+BLOCK_ROWS = 4096
 MERGE_TASKS = 64
 MAX_BITS = 16  # cells are counted in a table that goes to all tasks
 DEFAULT_BITS = 4
@@ -222,62 +227,82 @@ def grid_join(
     metric: str = "cosine",
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Exact neighbours for query tables of any size: slices of queries meet slices of rows.
+    """Exact neighbours for query tables of any size: slices of queries meet the rows, block by block.
 
-    One task holds one slice of each, whatever the sizes of the tables.
+    A task holds one slice of queries and one block of rows, whatever the sizes of the tables.
     """
-    return _cells_join(
-        table.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)), k, metric, slice_rows
-    )
+    rows = _by_cell(table.withColumn("cell", F.lit(0)))
+    return _cells_join(rows, asked.withColumn("cell", F.lit(0)), k, metric, slice_rows)
+
+
+class _Cells(NamedTuple):
+    """Rows in files, a folder for each cell."""
+
+    path: str
+    schema: T.StructType
+
+
+def _by_cell(table: DataFrame) -> _Cells:
+    """`(cell, id, embedding)` written by cell; a file holds about SLICE_ROWS rows, or the whole cell."""
+    sizes = table.groupBy("cell").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("n"))
+    path = passing_path(table.sparkSession, "cells")
+    (
+        table.join(F.broadcast(sizes), "cell")
+        .repartition("cell", F.pmod(F.xxhash64("id"), F.col("n")))
+        .select("cell", "id", "embedding")
+        .write.partitionBy("cell").parquet(path)
+    )
+    return _Cells(path, table.select("id", "embedding").schema)
+
+
+def _blocks(path: str, cells: list[int], id_type: pa.DataType) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of cells, in blocks."""
+    system, inner = filesystem(path)
+    for cell in cells:
+        found = system.get_file_info(pafs.FileSelector(f"{inner}/cell={cell}", allow_not_found=True))
+        for file in sorted(f.path for f in found if f.base_name.endswith(".parquet")):
+            with system.open_input_file(file) as source:
+                for block in pq.ParquetFile(source).iter_batches(BLOCK_ROWS, columns=["id", "embedding"]):
+                    yield block.column("id").cast(id_type), _matrix(block.column("embedding"))
 
 
 def _cells_join(
-    table: DataFrame, asked: DataFrame, k: int, metric: str, slice_rows: int
+    rows: _Cells, asked: DataFrame, k: int, metric: str, slice_rows: int, flips: tuple[int, ...] = (0,)
 ) -> DataFrame:
-    """Neighbours among rows and queries of the same cell; a large cell is cut into slices.
+    """Neighbours of queries among the rows of their cell, and of the cells that differ from it by `flips`.
 
-    Slice numbers come from the counts per cell, a table of at most 2^16 rows.
+    A cell's queries are cut into slices. A task reads the files of the cells its slice meets, so neither rows
+    nor hits of pairs of slices are shuffled: disk and shuffle grow with the tables and not with their product.
     """
-    n_rows = table.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("n_rs"))
     n_asked = asked.groupBy("cell").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("n_qs"))
-    slices = F.broadcast(n_rows.join(n_asked, "cell"))
-    keys = ["cell", "rs", "qs"]
-
-    def all_below(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = (
-        table.join(slices, "cell")
-        .withColumn("rs", F.pmod(F.xxhash64("id"), F.col("n_rs")).cast("int"))
-        .withColumn("qs", all_below("n_qs"))
-        .select(*keys, "id", "embedding")
-    )
-    right = (
-        asked.join(slices, "cell")
+    n_asked = hold(n_asked)
+    n_slices = n_asked.agg(F.sum("n_qs")).first()[0] or 0
+    spark = asked.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sliced = (
+        asked.join(F.broadcast(n_asked), "cell")
         .withColumn("qs", F.pmod(F.xxhash64("query_id"), F.col("n_qs")).cast("int"))
-        .withColumn("rs", all_below("n_rs"))
-        .select(*keys, "query_id", "embedding")
+        .select("cell", "qs", "query_id", "embedding")
+        # A slice is little to shuffle and much to do, so its number of tasks is not left to sizes.
+        .repartition(max(1, min(n_slices, most)), "cell", "qs")
+    )
+    path = rows.path
+    schema = T.StructType(
+        [asked.select("query_id").schema[0], rows.schema["id"], T.StructField("distance", T.DoubleType())]
     )
-    schema = _hit_schema(asked, table)
-    empty = T.StructType(schema.fields)
+    arrow = to_arrow_schema(schema)
 
-    def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if len(rows) and len(queries):
-            best = _Nearest(
-                queries["query_id"].combine_chunks(), _matrix(queries["embedding"]), k, metric
-            )
-            best.add(rows["id"].combine_chunks(), _matrix(rows["embedding"]))
-            return best.result()
-        return pa.table(
-            {
-                "query_id": pa.array([], queries.schema.field("query_id").type),
-                "id": pa.array([], rows.schema.field("id").type),
-                "distance": pa.array([], pa.float64()),
-            }
-        )
+    def meet(key: tuple, queries: pa.Table) -> pa.Table:
+        best = _Nearest(queries["query_id"].combine_chunks(), _matrix(queries["embedding"]), k, metric)
+        cells = [key[0].as_py() ^ flip for flip in flips]
+        for ids, block in _blocks(path, cells, arrow.field("id").type):
+            if block.shape[1] != best.queries.shape[1]:
+                raise ValueError(f"vectors of length {block.shape[1]}, queries of length {best.queries.shape[1]}")
+            best.add(ids, block)
+        found = best.result()
+        return arrow.empty_table() if found is None else found
 
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, empty)
-    return _ranked(hits, k)
+    return _ranked(sliced.groupBy("cell", "qs").applyInArrow(meet, schema), k)
 
 
 # --- approximate -------------------------------------------------------------------------------
@@ -320,8 +345,8 @@ def nearest_approx(
 ) -> DataFrame:
     """Nearest rows among those in the query's hash cell and the cells one bit away.
 
-    Exact distances inside the cells; a cell that holds much of the table is cut into slices, so it
-    costs more tasks and not a larger one. Rows in farther cells are not seen, which is the
+    Exact distances inside the cells; the queries of a cell that holds much of the table are cut into
+    slices, so it costs more tasks and not a larger one. Rows in farther cells are not seen, which is the
     approximation: see `recall`. `bits` alone says how fine the cells are, whatever the table holds.
     Where no neighbour may be lost, use `nearest_cells`.
     """
@@ -330,11 +355,8 @@ def nearest_approx(
     asked = hold(_vectors(queries, query_id_col, query_vector_col, "query_id"))
     if not 0 <= bits <= MAX_BITS:
         raise ValueError(f"bits must be between 0 and {MAX_BITS}")
-    flips = F.array(*[F.lit(m).cast("int") for m in [0] + [1 << b for b in range(bits)]])
-    probes = with_cell(asked, bits).withColumn(
-        "cell", F.explode(F.transform(flips, lambda m: F.col("cell").bitwiseXOR(m)))
-    )
-    return _cells_join(with_cell(table, bits), probes, k, metric, slice_rows)
+    flips = (0, *[1 << b for b in range(bits)])
+    return _cells_join(_by_cell(with_cell(table, bits)), with_cell(asked, bits), k, metric, slice_rows, flips)
 
 
 def _unit_planes(bits: int, dim: int) -> np.ndarray:
@@ -445,7 +467,8 @@ def nearest_cells(
     most = min(FAR_CELLS, -(-sum(r["count"] for r in counts) // slice_rows))
 
     probes = asked.withColumn("cell", F.explode(_first_cells(bits, metric)("embedding")))
-    first = hold(_cells_join(celled, probes, k, metric, slice_rows).drop("rank"))
+    by_cell = _by_cell(celled)
+    first = hold(_cells_join(by_cell, probes, k, metric, slice_rows).drop("rank"))
     kth = first.groupBy(F.col("query_id").alias("__id")).agg(
         F.when(F.count("*") >= k, F.max("distance")).alias("kth")
     )
@@ -464,7 +487,7 @@ def nearest_cells(
     again = on_all.select(F.col("query_id").alias("__id")).distinct()
     hits = (
         first.join(again, F.col("query_id").eqNullSafe(F.col("__id")), "left_anti")
-        .unionByName(_cells_join(celled, in_cells, k, metric, slice_rows).drop("rank"))
+        .unionByName(_cells_join(by_cell, in_cells, k, metric, slice_rows).drop("rank"))
         .unionByName(nearest(table, on_all, k, metric=metric).drop("rank"))
     )
     return _ranked(hits, k)

@@ -207,6 +207,15 @@ def test_approximate_recall(spark, vectors):
     assert knn.recall(partly, exact).first()["recall"] > 0.7
 
 
+def test_slices_of_queries_pass_on_k_hits(spark, vectors, monkeypatch):
+    """However many slices the rows would have, each query gives `k` hits to the ranking."""
+    monkeypatch.setattr(knn, "_ranked", lambda hits, k: hits)
+    table = spark.createDataFrame(vectors, "id string, embedding array<float>")
+    asked = table.withColumnRenamed("id", "query_id")
+    assert knn.grid_join(table, asked, 3, slice_rows=10).count() == 3 * len(vectors)
+    assert knn.nearest_approx(table, asked, 3, bits=2, slice_rows=10).count() <= 3 * len(vectors)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2sq"])
 def test_cells_are_exact(spark, vectors, metric):
     # Narrow groups, whose far cells can be ruled out; zero vectors, and query ids that are there twice or null.
