@@ -69,6 +69,16 @@ def test_hash_embed(spark):
     assert rows(embedding.embedded_only(out), "id") == [(1,), (4,)]
 
 
+def test_hash_embed_looks_at_repeated_words_once(monkeypatch):
+    seen, split = [], embedding.pc.split_pattern_regex
+    monkeypatch.setattr(embedding.pc, "split_pattern_regex", lambda a, **kw: seen.append(len(a)) or split(a, **kw))
+    got = embedding.count_buckets(embedding.pa.array(["größe—x, get é·; ", None, "— ·"] * 50), 64).to_pylist()
+    want = [0] * 64
+    for word in ("größe", "x", "get", "é"):
+        want[embedding._hash32(word) % 64] += 1
+    assert got[:3] == [want, None, None] and got[-3:] == got[:3] and sum(seen) <= 4
+
+
 def test_embed_retries():
     calls = []
 
